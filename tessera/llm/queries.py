@@ -18,6 +18,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import assess
+
+    return assess(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, store_uri, write_store
 
@@ -26,6 +38,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, uri)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode
 
@@ -38,5 +56,5 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_store, op6_sentencepiece_codec, op7_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_token_store, op5_language_id, op6_sentencepiece_codec, op7_token_counts)}
 SQL: dict[str, str] = {}
