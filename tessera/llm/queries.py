@@ -56,5 +56,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_token_store, op5_language_id, op6_sentencepiece_codec, op7_token_counts)}
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op3_license_scan, op4_token_store, op5_language_id, op6_sentencepiece_codec, op7_token_counts, op8_secret_scan)}
 SQL: dict[str, str] = {}
