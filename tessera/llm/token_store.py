@@ -1,8 +1,9 @@
 """Token ids in binary shards with a minimal perfect hash index for keyed access.
 
 File format. A store is a folder with `shard-NNNNNN.bin` files and `manifest.json` (shards in order with their numbers of
-documents and ids). A shard holds, in this order: the raw ids of its documents as little-endian unsigned 32-bit
-integers; the index; a footer of five unsigned 64-bit numbers (ids, documents, levels, byte offset of the index, magic).
+documents and ids). A shard holds, in this order: the raw ids of its documents as little-endian unsigned
+integers of 16 bits if the vocabulary allows, else of 32; the index; a footer of six unsigned 64-bit numbers (ids,
+documents, levels, bytes of an id, byte offset of the index, magic).
 The index is a minimal perfect hash in levels of bit arrays: a key sits at the first level where its bit is set, and its
 slot is the number of set bits before it. Each slot keeps a 64-bit fingerprint of its key, the id offset and the number
 of ids, so a lookup costs a few hashes and one slot, and a foreign key is refused.
@@ -20,10 +21,13 @@ store without shards; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from collections import ChainMap
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +41,10 @@ from tessera.session import shared_dir
 from ._common import mapped, pieces
 
 MAGIC = 0x3145524F54534B54
-_FOOTER = struct.Struct("<5Q")
+_FOOTER = struct.Struct("<6Q")
 _SLOT = np.dtype([("fingerprint", "<u8"), ("offset", "<u8"), ("n", "<u8"), ("occurrence", "<u4"), ("null", "<u4"), ("doc_id", "<i8")])
+#: beyond the Latin blocks, or with an unusual lower case
+_NOT_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 _RANK = 512  # bits between two stored ranks
 
 
@@ -126,8 +132,9 @@ def _filesystem(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """Writes one shard; payload goes out as it comes, the index at the end."""
 
-    def __init__(self, uri: str, name: str):
+    def __init__(self, uri: str, name: str, width: int = 4):
         self.fs, folder = _filesystem(uri)
+        self.width = width
         self.path, self.held = f"{folder}/{name}", f"{folder}/_{name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.held)
         self.ids, self.slots, self.last, self.seen = 0, [], object(), 0
@@ -137,8 +144,8 @@ class ShardWriter:
         self.last = doc_id
         key = key_hash(doc_id, self.seen)
         self.out.write(payload)
-        self.slots.append((key, self.ids, len(payload) // 4, self.seen, doc_id is None, doc_id or 0))
-        self.ids += len(payload) // 4
+        self.slots.append((key, self.ids, len(payload) // self.width, self.seen, doc_id is None, doc_id or 0))
+        self.ids += len(payload) // self.width
 
     def close(self) -> tuple[int, int]:
         rows = np.array(self.slots, _SLOT)
@@ -146,7 +153,7 @@ class ShardWriter:
         placed = np.zeros_like(rows)
         placed[table.slots(rows["fingerprint"])] = rows
         self.out.write(table.to_bytes() + placed.tobytes())
-        self.out.write(_FOOTER.pack(self.ids, len(rows), len(table.levels), self.ids * 4, MAGIC))
+        self.out.write(_FOOTER.pack(self.ids, len(rows), len(table.levels), self.width, self.ids * self.width, MAGIC))
         self.out.close()
         self.fs.move(self.held, self.path)
         return len(rows), self.ids
@@ -157,7 +164,7 @@ class ShardReader:
         self.fs, folder = _filesystem(uri)
         self.file = self.fs.open_input_file(f"{folder}/{name}")
         size = self.file.size()
-        self.n_ids, self.n_docs, n_levels, at, magic = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
+        self.n_ids, self.n_docs, n_levels, self.width, at, magic = _FOOTER.unpack(self.file.read_at(_FOOTER.size, size - _FOOTER.size))
         if magic != MAGIC:
             raise ValueError(f"{name} is no token shard")
         data = self.file.read_at(size - _FOOTER.size - at, at)
@@ -169,39 +176,61 @@ class ShardReader:
         slot = self.table.slot(key)
         return None if slot < 0 or int(self.slots[slot]["fingerprint"]) != key else self.slots[slot]
 
-    def payload(self, row: np.void) -> bytes:
-        return self.file.read_at(int(row["n"]) * 4, int(row["offset"]) * 4)
+    def ids(self, row: np.void) -> np.ndarray:
+        data = self.file.read_at(int(row["n"]) * self.width, int(row["offset"]) * self.width)
+        return np.frombuffer(data, f"<u{self.width}").astype("<u4")
 
     def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
         row = self.find(doc_id, occurrence)
-        return None if row is None else np.frombuffer(self.payload(row), "<u4")
+        return None if row is None else self.ids(row)
 
 
 class ChunkEncoder:
     """Ids of texts by the tokenizers library, a memo of the parts between blanks in front of it.
 
     The vocabulary's normalizer and pre-tokenizer never join what a space or line feed parts, so a text's ids are those
-    of its parts in order."""
+    of its parts in order. Parts that aren't known go to the library many at a time, with a special token between them.
+    Texts of Latin letters are lower-cased here already, as the normalizer does, so that fewer parts differ."""
+
+    MARK = "<|startoftext|>"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
-        probe = "One <|endoftext|>two\n\nthree's  4á ́x ΑΣ Σ."
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        if np.frombuffer(self.encode([probe])[0], "<u4").tolist() != whole:
-            raise ValueError("this vocabulary needs whole texts")
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        probe = "One <|endoftext|>two\n\nthree's  4á ́x ΑΣ Σ."
+        for text in (probe, "ÉTÉ 'S Don't"):
+            if self.mark is None or np.frombuffer(self.encode([text])[0], self.kind).tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError("this vocabulary needs whole texts")
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        alone = [p for p in parts if self.MARK in p]
+        plain = [p for p in parts if self.MARK not in p] if alone else parts
+        found = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.kind).tobytes() for p in alone}
+        rows = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for row, e in zip(rows, self.tokenizer.encode_batch_fast([self.MARK.join(r) for r in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            data, step, start = ids.astype(self.kind).tobytes(), int(self.kind[2]), 0
+            for part, end in zip(row, ends, strict=True):
+                found[part] = data[start * step : end * step]
+                start = end + 1
+        return [found[p] for p in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        """Little-endian ids of each text, in the width of `kind`."""
+        split = [(t if _NOT_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         known = self.memo
-        if new := list({c for parts in split for c in parts if c not in known}):
-            found = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
+        if new := list(set(chain.from_iterable(split)).difference(known)):
+            found = dict(zip(new, self._ids(new)))
             if len(known) + len(new) <= self.most:
                 known.update(found)
             else:
-                known = known | found
-        return [b"".join(map(known.__getitem__, parts)) for parts in split]
+                known = ChainMap(found, known)
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
 
 @lru_cache(2)
@@ -215,17 +244,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2,
     files, folder = _filesystem(uri)
     files.create_dir(folder, recursive=True)
     shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
         encoder, writer, shard = chunk_encoder(tokenizer_path), None, TaskContext.get().partitionId()
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             for first, texts in pieces(batch, "text", 2_000_000):
                 keys = batch.column("doc_id").slice(first, len(texts)).to_pylist()
                 if writer is None:
-                    writer = ShardWriter(uri, f"shard-{shard:06d}.bin")
+                    writer = ShardWriter(uri, f"shard-{shard:06d}.bin", len(end))
                 for key, ids in zip(keys, encoder.encode([t or "" for t in texts])):
                     writer.add(key, ids + end)
         if writer is not None:
@@ -270,7 +298,7 @@ def read_store(spark: SparkSession, uri: str) -> DataFrame:
                         row = shard.find(key, int(held["occurrence"]))
                         if row is None or row["offset"] != held["offset"]:
                             raise ValueError(f"{name}: the index doesn't lead to document {key}")
-                        out.append((key, base + int(row["offset"]), int(row["n"]), zlib.crc32(shard.payload(row))))
+                        out.append((key, base + int(row["offset"]), int(row["n"]), zlib.crc32(shard.ids(row).tobytes())))
                     cols = zip(*out)
                     yield pa.RecordBatch.from_pydict({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "start", "n_tokens", "ids_crc32"), cols)})
 
