@@ -68,5 +68,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_license_scan, op4_token_store, op5_language_id, op6_sentencepiece_codec, op7_token_counts, op8_secret_scan)}
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup
+
+    found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", found.line_dedup_n_lines.alias("n_lines"), found.line_dedup_n_recurring.alias("n_recurring"), found.line_dedup_n_dropped.alias("n_dropped"), "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_minhash_near_dedup, op3_license_scan, op4_token_store, op5_language_id, op6_sentencepiece_codec, op7_token_counts, op8_secret_scan, op9_benchmark_decontamination, op10_line_dedup)}
 SQL: dict[str, str] = {}
