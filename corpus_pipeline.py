@@ -1,10 +1,64 @@
-"""A corpus pipeline: quality rules, line dedup, near-duplicates, decontamination and token ids, stage after stage."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicates, decontamination and token ids, stage after stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+All but the last keep the columns of `documents`. run() does all of them, with a table in the shared folder between.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, line_dedup, near_dedup, quality, sentencepiece_codec
+from tessera.llm._common import table, written
+from tessera.llm.queries import PIECES, vocabulary
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs)
+
+
+def deduped_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines; a document that had words and has none left goes; n_chars follows the text."""
+    found = line_dedup.dedup(docs)
+    found = found.where("line_dedup_n_dropped = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("line_dedup_n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8): that of the smallest doc_id."""
+    gone = near_dedup.group(docs).where("not kept").select(F.col("doc_id").alias("near_dedup_id")).distinct()
+    return docs.join(gone, docs.doc_id == gone.near_dedup_id, "left_anti").select(*docs.columns)
+
+
+def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and the decoded text of each document, with digests and counts."""
+    return sentencepiece_codec.encode(docs, vocabulary(PIECES))
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("line dedup", deduped_lines),
+    ("minhash near-dedup", distinct_documents),
+    ("benchmark decontamination", clean_documents),
+    ("sentencepiece codec", token_ids),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
+    return docs
