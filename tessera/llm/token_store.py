@@ -45,6 +45,9 @@ _FOOTER = struct.Struct("<6Q")
 _SLOT = np.dtype([("fingerprint", "<u8"), ("offset", "<u8"), ("n", "<u8"), ("occurrence", "<u4"), ("null", "<u4"), ("doc_id", "<i8")])
 #: beyond the Latin blocks, or with an unusual lower case
 _NOT_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
+#: lower-cased Latin letters, and such a word with marks behind it: one and two pre-tokens that normalizing leaves alone
+_LETTERS = "[a-zß-öø-ÿĀ-įı-ɏ]+"
+_WORD = re.compile(f"({_LETTERS})([!-&(-/:-@\\[-`{{-~]*)")
 _RANK = 512  # bits between two stored ranks
 
 
@@ -190,7 +193,9 @@ class ChunkEncoder:
 
     The vocabulary's normalizer and pre-tokenizer never join what a space or line feed parts, so a text's ids are those
     of its parts in order. Parts that aren't known go to the library many at a time, with a special token between them.
-    Texts of Latin letters are lower-cased here already, as the normalizer does, so that fewer parts differ."""
+    Texts of Latin letters are lower-cased here already, as the normalizer does, so that fewer parts differ. Latin words,
+    and the marks behind them, are pre-tokens by themselves: they go in without the normalizer, and each one's ids end
+    with an id of the end-of-word kind."""
 
     MARK = "<|startoftext|>"
 
@@ -199,13 +204,42 @@ class ChunkEncoder:
 
         self.tokenizer, self.memo, self.most = Tokenizer.from_file(path), {}, most
         self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         probe = "One <|endoftext|>two\n\nthree's  4á ́x ΑΣ Σ."
-        for text in (probe, "ÉTÉ 'S Don't"):
+        for text in (probe, "ÉTÉ 'S Don't x** a_b *x !!. straße|", ""):
             if self.mark is None or np.frombuffer(self.encode([text])[0], self.kind).tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
                 raise ValueError("this vocabulary needs whole texts")
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
+    def _latin(self, words: list[str], found: dict[str, bytes]) -> None:
+        """Adds the ids of pre-tokens to found."""
+        rows = [words[i : i + 512] for i in range(0, len(words), 512)]
+        step = int(self.kind[2])
+        for row, e in zip(rows, self.bare.encode_batch_fast([" ".join(r) for r in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            data, start = ids.astype(self.kind).tobytes(), 0
+            for word, end in zip(row, (np.flatnonzero(self.ends[ids]) + 1).tolist(), strict=True):
+                found[word] = data[start * step : end * step]
+                start = end
+
+    def _ids(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts between blanks that aren't known yet."""
+        words, other = {}, []
+        for p in parts:
+            if (m := _WORD.fullmatch(p)) and p == p.lower():
+                words[p] = m.groups()
+            else:
+                other.append(p)
+        pieces: dict[str, bytes] = {}
+        memo = self.memo
+        self._latin(list({w for pair in words.values() for w in pair if w and w not in memo}), pieces)
+        get = ChainMap(pieces, memo, {"": b""}).__getitem__
+        return dict(zip(other, self._marked(other))) | pieces | {p: get(a) + get(b) for p, (a, b) in words.items()}
+
+    def _marked(self, parts: list[str]) -> list[bytes]:
         alone = [p for p in parts if self.MARK in p]
         plain = [p for p in parts if self.MARK not in p] if alone else parts
         found = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, self.kind).tobytes() for p in alone}
@@ -224,8 +258,8 @@ class ChunkEncoder:
         split = [(t if _NOT_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         known = self.memo
         if new := list(set(chain.from_iterable(split)).difference(known)):
-            found = dict(zip(new, self._ids(new)))
-            if len(known) + len(new) <= self.most:
+            found = self._ids(new)
+            if len(known) + len(found) <= self.most:
                 known.update(found)
             else:
                 known = ChainMap(found, known)
