@@ -7,15 +7,17 @@ its sketch the SKETCH lowest of them. Documents with the same set are one class;
    two sets that are similar enough share so many retained values that they meet in one of these (for sets that fit
    their sketch this is exact; for larger ones a link at the very threshold is missed with a chance under 1e-8). Lists
    are kept by bands of set size, as similar sets have similar sizes.
-2. A list of at most SMALL classes gives its pairs. A longer one gives each class with the list's leader only, its
-   smallest set, so candidates grow with the rows of the lists and not with their squares.
+2. A list of at most SMALL classes gives its pairs. A longer one gives each class with the list's leader only: the one
+   with the fewest values of its own, which in a group of copies is what the others were made from. So candidates grow
+   with the rows of the lists and not with their squares.
 3. Each candidate pair is estimated from the union of the sketches, and verified on the full sets.
-4. What the leader l leaves open: two classes x and y of its list may be linked though y isn't linked to l. As l is the
-   smallest, x and y then share a shingle that l doesn't have: the sets differ by D = |x-y| + |y-x|, and a link means
-   D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing outside l, D >= |y-l| + |l-y| + |x| - |l|, which is
-   more than b(|l|+|y|) + |x| - |l| >= b(|x|+|y|). So the shingles outside l make the next lists, again only as many of
-   each class as a link needs, and only lists that hold a class not linked to l. This repeats until no list is left;
-   each time lists lose their leader, and copies of one text fall apart by their own changes.
+4. What the leader l leaves open: classes x and y of its list may be linked though y isn't linked to l. Sets differ by
+   D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing outside l,
+   D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as D(l, y) > b(|l|+|y|), that is no link unless
+   |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l make the next lists, again only as
+   many of each class as a link needs, and one more list per leader holds the smaller sets and the few y so near to l.
+   Only lists with a class that isn't linked to l go on. This repeats until none is left; each time lists lose their
+   leader, and copies of one text fall apart by their own changes.
 
 Links go through label propagation with pointer jumping, in tables; nothing about documents reaches the driver but the
 numbers of rows left. Every table that is used again is written to the shared folder.
@@ -89,29 +91,31 @@ def features(docs: DataFrame, width: int) -> DataFrame:
 
 
 def first_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n): the classes under the rarest of their retained values, by band of size."""
+    """(key, node, n, rare): the classes under the rarest of their retained values, by band of size."""
     ratio = 100 / percent
-    values = classes.select("node", "n", F.explode("sketch").alias("v"))
+    values = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     shared = values.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))  # a sketch at most
+    held = values.join(shared, "v").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))  # a sketch at most
     # values that a similar set shares at least: exact if its sketch is the whole set too
     least = F.expr(f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})")
     # a sketch without that many others, less the values that only this class has, which are the rarest
     room = (F.size("held") - least + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio * 1.001)))
-    kept = held.select("node", "n", band.alias("band"), F.explode(F.slice("held", F.lit(1), F.greatest(room, F.lit(0)))).alias("x"))
-    return kept.select("node", "n", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"))
+    rare = (F.col("m") - F.size("held")).alias("rare")
+    kept = held.select("node", "n", rare, band.alias("band"), F.explode(F.slice("held", F.lit(1), F.greatest(room, F.lit(0)))).alias("x"))
+    return kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"))
 
 
 def candidate_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of lists (key, node, n, open): the pairs (a, b) of short lists, and (leader, node) of long ones."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("n", "node")).alias("least"), F.max("open").alias("any_open")).where("size > 1 and any_open")
+    """Of lists (key, node, n, rare, open): the pairs (a, b) of short lists, and (a, b, least) of long ones, with a the
+    leader and least the smallest set's size."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least"), F.max("open").alias("any_open")).where("size > 1 and any_open")
     rows = lists.join(sizes, "key")
     short = rows.where(F.col("size") <= SMALL).select("key", "node", "open")
     other = short.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
     pairs = short.join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b").distinct()
-    led = rows.where(F.col("size") > SMALL).select(F.col("least.node").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
-    return pairs, led
+    led = rows.where(F.col("size") > SMALL).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "least").where("a <> b")
+    return pairs, led.groupBy("a", "b").agg(F.min("least").alias("least"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -122,8 +126,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, rid_a, rid_b, linked, more: for candidates from leaders, more holds b's shingles outside a for new lists."""
-    both = pairs.select("a", "b", F.lit(False).alias("led")).unionByName(led.select("a", "b", F.lit(True).alias("led"))).groupBy("a", "b").agg(F.max("led").alias("led"))
+    """a, b, rid_a, rid_b, linked, more, near, small: for candidates from leaders, more holds b's shingles outside a for
+    the next lists, near tells that b may be linked to smaller sets without them, small that it is such a set."""
+    none = F.lit(None).cast("bigint").alias("least")
+    both = pairs.select("a", "b", none).unionByName(led).groupBy("a", "b").agg(F.min("least").alias("least"))
     left = sets.select(F.col("node").alias("a"), F.col("rid").alias("rid_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("rid").alias("rid_b"), F.col("shingles").alias("set_b"))
     rows = both.join(right, "b").join(left, "a")
@@ -131,23 +137,36 @@ def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
     def run(batches):
         for batch in batches:
             cols = {k: batch.column(k) for k in ("a", "b", "rid_a", "rid_b")}
-            linked, more = [], []
-            for led, x, y in zip(batch.column("led").to_pylist(), batch.column("set_a"), batch.column("set_b")):
+            out = []
+            for least, x, y in zip(batch.column("least").to_pylist(), batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                ok, rest = False, None
-                if led or estimate(x, y) >= 0.5:
-                    common = np.isin(y, x, assume_unique=True)
-                    n = int(common.sum())
-                    ok = 100 * n >= percent * (len(x) + len(y) - n)
-                    if led:
-                        outside = y[~common]
-                        need = max(1, -(-percent * len(y) // 100) - n)
-                        rest = outside[: max(0, len(outside) - need + 1)].view(np.int64)
-                linked.append(ok)
-                more.append(rest)
-            yield pa.RecordBatch.from_pydict(cols | {"linked": pa.array(linked, pa.bool_()), "more": pa.array(more, pa.list_(pa.int64()))})
-
-    return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, more array<bigint>")
+                if least is None:
+                    n = len(np.intersect1d(x, y, True)) if estimate(x, y) >= 0.5 else 0
+                    out.append((100 * n >= percent * (len(x) + len(y) - n), None, False, False))
+                    continue
+                common = np.isin(y, x, assume_unique=True)
+                n = int(common.sum())
+                linked = 100 * n >= percent * (len(x) + len(y) - n)
+                outside = y[~common]
+                # a set that is linked to y shares so much with it, and n of it at most within x
+                need = max(-(-percent * len(y) // 100), -(-percent * (len(y) + least) // (100 + percent)))
+                more = outside[: max(0, len(outside) - max(1, need - n) + 1)].view(np.int64)
+                # D(x, y) - b(|x|+|y|) <= (1-b)(|x|-least), times 100 + percent
+                over = (len(x) + len(y) - 2 * n) * (100 + percent) - (100 - percent) * (len(x) + len(y))
+                near = not linked and over <= 2 * percent * (len(x) - least)
+                out.append((linked, more, near, len(y) < len(x)))
+            linked, more, near, small = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_pydict(cols | {"linked": pa.array(linked, pa.bool_()), "more": pa.array(more, pa.list_(pa.int64())), "near": pa.array(near, pa.bool_()), "small": pa.array(small, pa.bool_())})
+
+    return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, more array<bigint>, near boolean, small boolean")
+
+
+def next_lists(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lists of what verified() leaves open; nodes: node, n, rare."""
+    outside = found.select("a", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
+    later = outside.select(F.xxhash64("a", "v").alias("key"), "node", "open").union(found.where("near or small").select(F.xxhash64("a", F.lit("near")).alias("key"), F.col("b").alias("node"), F.col("near").alias("open")))
+    alive = later.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("o")).where("c > 1 and o").select("key")
+    return later.join(alive, "key").join(nodes, "node").select("key", "node", "n", "rare", "open")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,6 +190,7 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     real = feats.where("sig is not null and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("sig"))
     lists = written(first_lists(classes, percent).withColumn("open", F.lit(True)), "lists")
+    nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
     pairs, led = (written(x, "pairs") for x in candidate_pairs(lists))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(led.select("a")).union(led.select("b")).distinct()
     wanted = real.groupBy("sig").agg(F.min("doc_id").alias("rid")).withColumn("node", F.xxhash64("sig")).join(ends, "node")
@@ -180,11 +200,7 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
         found = written(verified(pairs, led, sets, percent), "verified")
         new = found.where("linked").select(F.col("rid_a").alias("x"), F.col("rid_b").alias("y"))
         links = new if links is None else links.union(new)
-        later = found.select("a", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
-        later = later.select(F.xxhash64("a", "v").alias("key"), "node", "open")
-        sizes = sets.select("node", F.col("n"))
-        lists = later.join(later.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("o")).where("c > 1 and o").select("key"), "key").join(sizes, "node")
-        lists = written(lists.select("key", "node", "n", "open"), "lists")
+        lists = written(next_lists(found, nodes), "lists")
         if lists.isEmpty():
             break
         pairs, led = (written(x, "pairs") for x in candidate_pairs(lists))
