@@ -9,8 +9,10 @@ associative and idempotent, so tasks meet what they have first and a leaf gets o
 A template that stands in two documents or more is boilerplate or a copied passage: all its lines are dropped but the
 first, by doc_id and line. Lines repeated within a single document only are left alone, as are short ones.
 
-What is shuffled: the met templates of the leaves, a fixed-size row for each line, and once the texts with the lists of
-their dropped lines. Only a document's own lines are ever gathered in one row.
+What is shuffled: a fixed-size row for each line, the met templates of leaves that hold different lines, and once the
+texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap of
+LEAF_BITS places over hashes of leaves, of a fixed size whatever the input; leaves that share a place with such a leaf
+only cost some shuffling. Only a document's own lines are ever gathered in one row.
 
 Defined results: a null text stays null, an empty one empty; null doc_ids count as documents of their own that come
 first; rows that repeat id and text are one document for the counts and get the same result each; the columns of docs
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,13 +33,16 @@ from ._common import mapped, pieces, written
 
 MIN_TOKENS, LEADING, LITERAL = 6, 3, 0.75
 FIELD = "<*>"
+#: Places of the bitmap that is collected and broadcast: 8 MB.
+LEAF_BITS = 1 << 26
+_DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
 _HELD = 100_000
 
 
 def template(line: str) -> tuple[int, list[str]]:
     """Leaf and tokens, fields marked, of a line; no tokens if it is too short."""
-    tokens = _VARIABLE.sub(FIELD, line).split()
+    tokens = (_VARIABLE.sub(FIELD, line) if _DIGIT.search(line) else line).split()
     if len(tokens) < MIN_TOKENS:
         return 0, []
     return _signed(f"{len(tokens)} {' '.join(tokens[:LEADING])}"), tokens
@@ -50,11 +56,31 @@ def met(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else FIELD for x, y in zip(a, b)]
 
 
-def leaf_templates(texts: DataFrame) -> DataFrame:
+def mixed_leaves(lines: DataFrame) -> np.ndarray:
+    """The bitmap of leaves that hold different lines; lines: leaf, own."""
+    mixed = lines.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b")
+    place = F.expr(f"leaf & {LEAF_BITS - 1}").alias("place")
+    words = mixed.select(place).groupBy(F.bitmap_bucket_number("place").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(LEAF_BITS // 8 + 8192, np.uint8)
+    for r in words.collect():  # LEAF_BITS / 32768 rows of 4 kB at most
+        at = (r.k - 1) * len(r.bits)
+        out[max(0, at) : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)[max(0, -at) :]
+    return out
+
+
+def _place(leaf: int) -> tuple[int, int]:
+    """Byte and bit of a leaf, as the bitmap functions number them: positions from 1 in buckets of 32768."""
+    at = (leaf & (LEAF_BITS - 1)) - 1
+    return at >> 3, at & 7
+
+
+def leaf_templates(texts: DataFrame, mixed: np.ndarray) -> DataFrame:
     """(leaf, template) of the leaves whose lines make one template with variable fields; texts: text."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(mixed.tobytes())  # of a fixed size
 
     def run(batches):
         held: dict[int, list[str]] = {}
+        bits = bitmap.value
 
         def flush():
             out = pa.RecordBatch.from_pydict({"leaf": pa.array(held.keys(), pa.int64()), "template": pa.array([" ".join(t) for t in held.values()], pa.string())})
@@ -66,8 +92,10 @@ def leaf_templates(texts: DataFrame) -> DataFrame:
                 for text in part:
                     for line in (text or "").split("\n"):
                         leaf, tokens = template(line)
-                        if tokens and (known := held.get(leaf)) != tokens:
-                            held[leaf] = met(known, tokens) if known else tokens
+                        if tokens:
+                            byte, bit = _place(leaf)
+                            if bits[byte] >> bit & 1 and (known := held.get(leaf)) != tokens:
+                                held[leaf] = met(known, tokens) if known else tokens
                 if len(held) >= _HELD:
                     yield flush()
         yield flush()
@@ -101,9 +129,10 @@ def line_table(rows: DataFrame) -> DataFrame:
 
 def _dropped(rows: DataFrame) -> DataFrame:
     """(k1, k2, n_recurring, drop): of each document with lines of recurring templates, the lines that go."""
-    leaves = leaf_templates(rows.select("text")).select("leaf", F.lit(True).alias("one"))
-    lines = line_table(rows).join(leaves, "leaf", "left")
-    lines = written(lines.select("k1", "k2", "line", F.when(F.col("one"), F.md5(F.col("leaf").cast("string").cast("binary"))).otherwise(F.hex("own")).alias("template")), "lines")
+    lines = written(line_table(rows), "lines")
+    leaves = leaf_templates(rows.select("text"), mixed_leaves(lines)).select("leaf", F.lit(True).alias("one"))
+    lines = lines.join(leaves, "leaf", "left")
+    lines = written(lines.select("k1", "k2", "line", F.when(F.col("one"), F.unhex(F.md5(F.col("leaf").cast("string").cast("binary")))).otherwise(F.col("own")).alias("template")), "templates")
     place = F.struct("k1", "k2", "line")
     templates = lines.groupBy("template").agg(F.min(place).alias("first"), F.max(F.struct("k1", "k2")).alias("last"))
     recurring = templates.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("template", "first")
@@ -116,16 +145,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """docs with the text less its dropped lines, and the columns line_dedup_n_lines, line_dedup_n_recurring and
     line_dedup_n_dropped."""
     key = {"k1": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), "k2": F.xxhash64(id_col, text_col)}
-    drop = _dropped(docs.select(*(c.alias(k) for k, c in key.items()), F.col(text_col).alias("text"))).withColumnsRenamed({"k1": "line_dedup_k1", "k2": "line_dedup_k2"})
+    drop = _dropped(docs.select(*(c.alias(k) for k, c in key.items()), F.col(text_col).alias("text"))).withColumnsRenamed({k: f"line_dedup_{k}" for k in ("k1", "k2", "n_recurring", "drop")})
     all_rows = docs.withColumns({f"line_dedup_{k}": c for k, c in key.items()}).join(drop, ["line_dedup_k1", "line_dedup_k2"], "left")
     lines = F.split(text_col, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
-    text = F.when(F.size("drop") > 0, F.array_join(F.transform(F.array(lines), lambda all_lines: F.transform(left, lambda i: all_lines[i]))[0], "\n")).otherwise(F.col(text_col))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_dedup_drop"))
+    text = F.when(F.size("line_dedup_drop") > 0, F.array_join(F.transform(F.array(lines), lambda all_lines: F.transform(left, lambda i: all_lines[i]))[0], "\n")).otherwise(F.col(text_col))
     out = all_rows.withColumns(
         {
             "line_dedup_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
-            "line_dedup_n_recurring": F.coalesce("n_recurring", F.lit(0)).cast("bigint"),
-            "line_dedup_n_dropped": F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).cast("bigint"),
+            "line_dedup_n_recurring": F.coalesce("line_dedup_n_recurring", F.lit(0)).cast("bigint"),
+            "line_dedup_n_dropped": F.when(F.col("line_dedup_drop").isNull(), 0).otherwise(F.size("line_dedup_drop")).cast("bigint"),
             "line_dedup_text": text,
         }
     )
