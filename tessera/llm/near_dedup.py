@@ -6,18 +6,19 @@ its sketch the SKETCH lowest of them. Documents with the same set are one class;
 1. Inverted lists. Values that only one class retains are dropped. Of its values a class is listed under the rarest only:
    two sets that are similar enough share so many retained values that they meet in one of these (for sets that fit
    their sketch this is exact; for larger ones a link at the very threshold is missed with a chance under 1e-8). Lists
-   are kept by bands of set size, as similar sets have similar sizes.
-2. A list of at most SMALL classes gives its pairs. A longer one gives each class with the list's leader only: the one
-   with the fewest values of its own, which in a group of copies is what the others were made from. So candidates grow
-   with the rows of the lists and not with their squares.
+   are kept by bands of set size, as similar sets have similar sizes. Classes that meet another one get their full sets,
+   and are listed in the same way under the rarest shingles of these, now exactly.
+2. A list of at most SMALL classes (LATER, once leaders have been tried) gives its pairs. A longer one gives each class with the list's leader only: the one
+   with the fewest shingles of its own, which in a group of copies is what the others were made from. So candidates
+   grow with the rows of the lists and not with their squares. Of lists with the same classes one is kept.
 3. Each candidate pair is estimated from the union of the sketches, and verified on the full sets.
 4. What the leader l leaves open: classes x and y of its list may be linked though y isn't linked to l. Sets differ by
    D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing outside l,
    D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as D(l, y) > b(|l|+|y|), that is no link unless
-   |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l make the next lists, again only as
-   many of each class as a link needs, and one more list per leader holds the smaller sets and the few y so near to l.
-   Only lists with a class that isn't linked to l go on. This repeats until none is left; each time lists lose their
-   leader, and copies of one text fall apart by their own changes.
+   |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l part a list into lists, again only
+   as many of each class as a link needs, and one more list holds the smaller sets and the few y so near to l. Only
+   lists with a class that isn't linked to l go on. This repeats until none is left; a list never holds the leader of
+   the one it comes from, and copies of one text fall apart by their own changes.
 
 Links go through label propagation with pointer jumping, in tables; nothing about documents reaches the driver but the
 numbers of rows left. Every table that is used again is written to the shared folder.
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 
 from ._common import mapped, pieces, written
 
-SKETCH, SMALL = 64, 8
+SKETCH = 64
+#: Most classes of a list that gives all its pairs: at first, and of the lists that leaders leave.
+SMALL, LATER = 8, 96
 _U = np.uint64
 
 
@@ -90,32 +93,45 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, sig binary, sketch array<bigint>")
 
 
-def first_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, rare): the classes under the rarest of their retained values, by band of size."""
-    ratio = 100 / percent
-    values = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
-    shared = values.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    held = values.join(shared, "v").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))  # a sketch at most
-    # values that a similar set shares at least: exact if its sketch is the whole set too
-    least = F.expr(f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})")
-    # a sketch without that many others, less the values that only this class has, which are the rarest
-    room = (F.size("held") - least + 1).cast("int")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio * 1.001)))
-    rare = (F.col("m") - F.size("held")).alias("rare")
-    kept = held.select("node", "n", rare, band.alias("band"), F.explode(F.slice("held", F.lit(1), F.greatest(room, F.lit(0)))).alias("x"))
+def by_rarest(held: DataFrame, least: str, percent: int) -> DataFrame:
+    """(key, node, n, rare): each node under the rarest of its values, by band of size. held: node, n, m (values in all)
+    and v; least: SQL for the number of values that a similar set shares, from n."""
+    shared = held.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    # a node's own values: those that others have too, rarest first; the ones that nobody has come before them
+    rows = held.join(shared, "v").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
+    room = (F.size("held") - F.expr(least) + 1).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
+    kept = rows.select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), F.greatest(room, F.lit(0)))).alias("x"))
     return kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"))
 
 
-def candidate_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of lists (key, node, n, rare, open): the pairs (a, b) of short lists, and (a, b, least) of long ones, with a the
-    leader and least the smallest set's size."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least"), F.max("open").alias("any_open")).where("size > 1 and any_open")
+def sketch_lists(classes: DataFrame, percent: int) -> DataFrame:
+    held = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
+    # exact if the similar set's sketch is the whole set too
+    return by_rarest(held, f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})", percent)
+
+
+def full_lists(sets: DataFrame, percent: int) -> DataFrame:
+    held = sets.select("node", "n", F.col("n").alias("m"), F.explode("shingles").alias("v"))
+    return by_rarest(held, f"(n * {percent} + 99) div 100", percent)
+
+
+def distinct_lists(lists: DataFrame) -> DataFrame:
+    """Lists (key, node, n, rare, open) of two or more, some open; one of those that hold the same."""
+    row = F.xxhash64("node", "open")
+    marks = lists.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y"), F.max("open").alias("o")).where("c > 1 and o")
+    return lists.join(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def candidate_pairs(lists: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of short lists, and (key, a, b, least) of long ones: a the leader, least the smallest size."""
+    sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least"))
     rows = lists.join(sizes, "key")
-    short = rows.where(F.col("size") <= SMALL).select("key", "node", "open")
+    short = rows.where(F.col("size") <= small).select("key", "node", "open")
     other = short.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
     pairs = short.join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b").distinct()
-    led = rows.where(F.col("size") > SMALL).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "least").where("a <> b")
-    return pairs, led.groupBy("a", "b").agg(F.min("least").alias("least"))
+    led = rows.where(F.col("size") > small).select("key", F.col("lead.node").alias("a"), F.col("node").alias("b"), "least").where("a <> b")
+    return pairs, led
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
@@ -129,7 +145,7 @@ def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
     """a, b, rid_a, rid_b, linked, more, near, small: for candidates from leaders, more holds b's shingles outside a for
     the next lists, near tells that b may be linked to smaller sets without them, small that it is such a set."""
     none = F.lit(None).cast("bigint").alias("least")
-    both = pairs.select("a", "b", none).unionByName(led).groupBy("a", "b").agg(F.min("least").alias("least"))
+    both = pairs.select("a", "b", none).unionByName(led.drop("key")).groupBy("a", "b").agg(F.min("least").alias("least"))
     left = sets.select(F.col("node").alias("a"), F.col("rid").alias("rid_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("rid").alias("rid_b"), F.col("shingles").alias("set_b"))
     rows = both.join(right, "b").join(left, "a")
@@ -139,7 +155,7 @@ def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
             cols = {k: batch.column(k) for k in ("a", "b", "rid_a", "rid_b")}
             out = []
             for least, x, y in zip(batch.column("least").to_pylist(), batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                x, y = x.values.to_numpy().view(_U), y.values.to_numpy().view(_U)
                 if least is None:
                     n = len(np.intersect1d(x, y, True)) if estimate(x, y) >= 0.5 else 0
                     out.append((100 * n >= percent * (len(x) + len(y) - n), None, False, False))
@@ -161,12 +177,12 @@ def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
     return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, more array<bigint>, near boolean, small boolean")
 
 
-def next_lists(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists of what verified() leaves open; nodes: node, n, rare."""
-    outside = found.select("a", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
-    later = outside.select(F.xxhash64("a", "v").alias("key"), "node", "open").union(found.where("near or small").select(F.xxhash64("a", F.lit("near")).alias("key"), F.col("b").alias("node"), F.col("near").alias("open")))
-    alive = later.groupBy("key").agg(F.count("*").alias("c"), F.max("open").alias("o")).where("c > 1 and o").select("key")
-    return later.join(alive, "key").join(nodes, "node").select("key", "node", "n", "rare", "open")
+def next_lists(found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Lists of what verified() leaves open; led: candidate_pairs' long lists; nodes: node, n, rare."""
+    rows = led.select("key", "a", "b").join(found, ["a", "b"])
+    outside = rows.select("key", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
+    later = outside.select(F.xxhash64("key", "v").alias("key"), "node", "open").union(rows.where("near or small").select(F.xxhash64("key", F.lit("near")).alias("key"), F.col("b").alias("node"), F.col("near").alias("open")))
+    return distinct_lists(later).join(nodes, "node").select("key", "node", "n", "rare", "open")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -189,21 +205,22 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     feats = written(features(rows, width), "features")
     real = feats.where("sig is not null and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("sig"))
-    lists = written(first_lists(classes, percent).withColumn("open", F.lit(True)), "lists")
+    met = sketch_lists(classes, percent).select("key", "node")
+    active = met.join(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("node").distinct()
+    sets = written(full_sets(rows, classes.select("sig", "rid", "node").join(active, "node"), width), "sets")
+    lists = written(full_lists(sets, percent).withColumn("open", F.lit(True)), "lists")
     nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
-    pairs, led = (written(x, "pairs") for x in candidate_pairs(lists))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(led.select("a")).union(led.select("b")).distinct()
-    wanted = real.groupBy("sig").agg(F.min("doc_id").alias("rid")).withColumn("node", F.xxhash64("sig")).join(ends, "node")
-    sets = written(full_sets(rows, wanted, width), "sets")
+    lists = written(distinct_lists(lists), "lists")
+    pairs, led = (written(x, "pairs") for x in candidate_pairs(lists, SMALL))
     links = None
     while True:
         found = written(verified(pairs, led, sets, percent), "verified")
         new = found.where("linked").select(F.col("rid_a").alias("x"), F.col("rid_b").alias("y"))
         links = new if links is None else links.union(new)
-        lists = written(next_lists(found, nodes), "lists")
+        lists = written(next_lists(found, led, nodes), "lists")
         if lists.isEmpty():
             break
-        pairs, led = (written(x, "pairs") for x in candidate_pairs(lists))
+        pairs, led = (written(x, "pairs") for x in candidate_pairs(lists, LATER))
     labels = components(links)
     of_class = real.groupBy("sig").agg(F.min("doc_id").alias("rid"))
     of_class = of_class.join(labels, of_class.rid == labels.id, "left").select("sig", F.coalesce("label", "rid").alias("component_id"))
@@ -226,11 +243,11 @@ def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 for rid, asked, s in zip(rids, sigs, shingle_sets(found, width, hashes)):
                     sig = xxhash.xxh3_128_digest(s.tobytes())
                     if sig in asked:
-                        out.append((sig, rid, len(s), s.tobytes()))
+                        out.append((sig, rid, len(s), s.view(np.int64)))
                 if out:
                     a, b, c, d = zip(*out)
-                    yield pa.RecordBatch.from_pydict({"sig": pa.array(a, pa.binary()), "rid": pa.array(b, pa.int64()), "n": pa.array(c, pa.int64()), "shingles": pa.array(d, pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"sig": pa.array(a, pa.binary()), "rid": pa.array(b, pa.int64()), "n": pa.array(c, pa.int64()), "shingles": pa.array(d, pa.list_(pa.int64()))})
 
-    made = mapped(texts, run, "sig binary, rid bigint, n bigint, shingles binary")
+    made = mapped(texts, run, "sig binary, rid bigint, n bigint, shingles array<bigint>")
     # one row a class, also where rows repeat
     return made.groupBy("sig", "rid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).withColumn("node", F.xxhash64("sig"))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from tessera.llm import near_dedup
 from tessera.llm.near_dedup import SMALL, group
 
 
@@ -54,8 +55,9 @@ def edited(r, base, n):
     return out
 
 
-@pytest.mark.parametrize("seed,length", [(1, 120), (2, 40)])
-def test_groups_of_edited_copies(spark, seed, length):
+@pytest.mark.parametrize("seed,length,later", [(1, 120, near_dedup.LATER), (2, 40, 6)])
+def test_groups_of_edited_copies(spark, monkeypatch, seed, length, later):
+    monkeypatch.setattr(near_dedup, "LATER", later)  # few, so that leaders lead again
     r = random.Random(seed)
     base = words(r, length)
     passage = " ".join(words(r, 30))
