@@ -1,0 +1,83 @@
+"""Loading tokenizer definitions: tokenizer.json, vocab.txt, folders of them, and live tokenizer objects."""
+
+from __future__ import annotations
+
+import json
+import os
+from pathlib import Path
+from typing import Any
+
+from tessera.plans.spec import TokenizerSpec
+
+NAMED = ("bos_token", "eos_token", "unk_token", "sep_token", "pad_token", "cls_token", "mask_token")
+SETTINGS = ("clean_up_tokenization_spaces", "do_lower_case", "model_input_names", "model_max_length", "padding_side", "tokenizer_class", "truncation_side")
+_BERT = {f"{n}_token": f"[{n.upper()}]" for n in ("pad", "unk", "cls", "sep", "mask")}
+
+
+def definition_from_vocab(vocab: list[str], lowercase: bool = True, strip_accents: bool | None = None, handle_chinese_chars: bool = True, **names: str) -> str:
+    """The definition of a BERT tokenizer over a list of tokens; an id is a place in the list, the last one of repeats."""
+    if unknown := set(names) - set(_BERT):
+        raise TypeError(f"unknown special tokens: {sorted(unknown)}")
+    special = _BERT | names
+    ids = dict(zip(vocab, range(len(vocab))))
+    start, end = special["cls_token"], special["sep_token"]
+    added = [{"id": ids[t], "content": t, "special": True, "normalized": False, "single_word": False, "lstrip": False, "rstrip": False} for t in dict.fromkeys(special.values()) if t in ids]
+    parts = [{"SpecialToken": {"id": start, "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": end, "type_id": 0}}]
+    made = {
+        "version": "1.0",
+        "model": {"type": "WordPiece", "vocab": ids, "unk_token": special["unk_token"], "continuing_subword_prefix": "##", "max_input_chars_per_word": 100},
+        "normalizer": {"type": "BertNormalizer", "lowercase": lowercase, "strip_accents": strip_accents, "handle_chinese_chars": handle_chinese_chars, "clean_text": True},
+        "pre_tokenizer": {"type": "BertPreTokenizer"},
+        "added_tokens": sorted(added, key=lambda t: t["id"]),
+        "post_processor": {"type": "TemplateProcessing", "single": parts, "pair": parts, "special_tokens": {t: {"id": t, "ids": [ids[t]], "tokens": [t]} for t in (start, end)}},
+        "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
+    }
+    return json.dumps(made)
+
+
+def read_vocab(path: str | os.PathLike) -> list[str]:
+    return Path(path).read_text(encoding="utf-8").removesuffix("\n").split("\n")
+
+
+def _config(folder: Path) -> dict[str, Any]:
+    out: dict[str, Any] = {}
+    for name in ("special_tokens_map.json", "tokenizer_config.json"):
+        if (folder / name).is_file():
+            held = json.loads((folder / name).read_text(encoding="utf-8"))
+            for key in (*SETTINGS, *NAMED):
+                if held.get(key) is not None:
+                    out[key] = held[key].get("content") if isinstance(held[key], dict) else held[key]
+    return out
+
+
+def _from_folder(folder: Path, definition: Path | None = None) -> TokenizerSpec:
+    config = _config(folder)
+    definition = definition or folder / "tokenizer.json"
+    if definition.is_file():
+        return TokenizerSpec(definition.read_text(encoding="utf-8"), config)
+    if not (folder / "vocab.txt").is_file():
+        raise FileNotFoundError(f"{folder}: neither tokenizer.json nor vocab.txt is there")
+    names = {k: config[k] for k in _BERT if k in config}
+    return TokenizerSpec(definition_from_vocab(read_vocab(folder / "vocab.txt"), lowercase=bool(config.get("do_lower_case", True)), **names), config)
+
+
+def load(source: Any) -> TokenizerSpec:
+    """A definition from a path, a folder, a live tokenizer object, or as it is. Hub names need files on this disk."""
+    if isinstance(source, TokenizerSpec):
+        return source
+    if isinstance(source, (str, os.PathLike)):
+        path = Path(source)
+        if path.is_file():
+            if path.suffix == ".txt":
+                return TokenizerSpec(definition_from_vocab(read_vocab(path)))
+            return _from_folder(path.parent, path)
+        if path.is_dir():
+            return _from_folder(path)
+        raise FileNotFoundError(f"{source}: no such file or folder, and definitions are not fetched from a network")
+    if hasattr(source, "backend_tokenizer"):
+        config = {k: getattr(source, k) for k in SETTINGS if hasattr(source, k)}
+        config |= {k: str(v) for k in NAMED if (v := getattr(source, k, None)) is not None}
+        return TokenizerSpec(source.backend_tokenizer.to_str(), config)
+    if hasattr(source, "to_str"):
+        return TokenizerSpec(source.to_str())
+    raise TypeError(f"no tokenizer definition can be read from {type(source).__name__}")
