@@ -261,8 +261,8 @@ class ChunkEncoder:
             found = self._ids(new)
             if len(known) + len(found) <= self.most:
                 known.update(found)
-            else:
-                known = ChainMap(found, known)
+            else:  # a new memo, once this batch is done
+                self.memo, known = found, known | found
         get = known.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
 
