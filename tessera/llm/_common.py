@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import shared_dir, ship
 
@@ -24,14 +26,44 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(fn, schema)
 
 
+#: Frees the shuffle files of a written table at once; they aren't needed again, as it is read from its files.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written as Parquet in the shared folder and read back: cuts the lineage for good."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Places of a bitmap that is collected and broadcast: 8 MB, whatever the input's size.
+BITMAP_PLACES = 1 << 26
+
+
+def bitmap(hashes: DataFrame) -> bytes:
+    """A bitmap of the 64-bit hashes in the only column; may_hold() is true for each of them, and for few others."""
+    place = hashes.select(F.col(hashes.columns[0]).bitwiseAND(BITMAP_PLACES - 1).alias("place"))
+    words = place.groupBy(F.bitmap_bucket_number("place").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(BITMAP_PLACES // 8 + 8192, np.uint8)
+    for r in words.collect():  # BITMAP_PLACES / 32768 rows of 4 kB at most
+        at = (r.k - 1) * len(r.bits)
+        out[max(0, at) : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)[max(0, -at) :]
+    return out.tobytes()
+
+
+def may_hold(bits: bytes, value: int) -> int:
+    """Whether the bitmap has the place of a hash; Spark numbers positions from 1, in buckets of 32768."""
+    at = (value & (BITMAP_PLACES - 1)) - 1
+    return bits[at >> 3] >> (at & 7) & 1
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[tuple[int, list]]:
     """Slices of a batch with about `limit` bytes of text each, whole rows: (first row, values)."""
     col = batch.column(column)

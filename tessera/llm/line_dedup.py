@@ -10,8 +10,8 @@ A template that stands in two documents or more is boilerplate or a copied passa
 first, by doc_id and line. Lines repeated within a single document only are left alone, as are short ones.
 
 What is shuffled: a fixed-size row for each line, the met templates of leaves that hold different lines, and once the
-texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap of
-LEAF_BITS places over hashes of leaves, of a fixed size whatever the input; leaves that share a place with such a leaf
+texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap over
+hashes of leaves, of a fixed size whatever the input; leaves that share a place with such a leaf
 only cost some shuffling. Only a document's own lines are ever gathered in one row.
 
 Defined results: a null text stays null, an empty one empty; null doc_ids count as documents of their own that come
@@ -23,18 +23,15 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, pieces, written
+from ._common import bitmap, mapped, may_hold, pieces, written
 
 MIN_TOKENS, LEADING, LITERAL = 6, 3, 0.75
 FIELD = "<*>"
-#: Places of the bitmap that is collected and broadcast: 8 MB.
-LEAF_BITS = 1 << 26
 _DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
 _HELD = 100_000
@@ -56,27 +53,14 @@ def met(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else FIELD for x, y in zip(a, b)]
 
 
-def mixed_leaves(lines: DataFrame) -> np.ndarray:
-    """The bitmap of leaves that hold different lines; lines: leaf, own."""
-    mixed = lines.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b")
-    place = F.expr(f"leaf & {LEAF_BITS - 1}").alias("place")
-    words = mixed.select(place).groupBy(F.bitmap_bucket_number("place").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    out = np.zeros(LEAF_BITS // 8 + 8192, np.uint8)
-    for r in words.collect():  # LEAF_BITS / 32768 rows of 4 kB at most
-        at = (r.k - 1) * len(r.bits)
-        out[max(0, at) : at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)[max(0, -at) :]
-    return out
+def mixed_leaves(lines: DataFrame) -> DataFrame:
+    """leaf, of the leaves that hold different lines; lines: leaf, own."""
+    return lines.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a <> b").select("leaf")
 
 
-def _place(leaf: int) -> tuple[int, int]:
-    """Byte and bit of a leaf, as the bitmap functions number them: positions from 1 in buckets of 32768."""
-    at = (leaf & (LEAF_BITS - 1)) - 1
-    return at >> 3, at & 7
-
-
-def leaf_templates(texts: DataFrame, mixed: np.ndarray) -> DataFrame:
+def leaf_templates(texts: DataFrame, mixed: bytes) -> DataFrame:
     """(leaf, template) of the leaves whose lines make one template with variable fields; texts: text."""
-    bitmap = texts.sparkSession.sparkContext.broadcast(mixed.tobytes())  # of a fixed size
+    bitmap = texts.sparkSession.sparkContext.broadcast(mixed)  # of a fixed size
 
     def run(batches):
         held: dict[int, list[str]] = {}
@@ -92,10 +76,8 @@ def leaf_templates(texts: DataFrame, mixed: np.ndarray) -> DataFrame:
                 for text in part:
                     for line in (text or "").split("\n"):
                         leaf, tokens = template(line)
-                        if tokens:
-                            byte, bit = _place(leaf)
-                            if bits[byte] >> bit & 1 and (known := held.get(leaf)) != tokens:
-                                held[leaf] = met(known, tokens) if known else tokens
+                        if tokens and may_hold(bits, leaf) and (known := held.get(leaf)) != tokens:
+                            held[leaf] = met(known, tokens) if known else tokens
                 if len(held) >= _HELD:
                     yield flush()
         yield flush()
@@ -130,7 +112,7 @@ def line_table(rows: DataFrame) -> DataFrame:
 def _dropped(rows: DataFrame) -> DataFrame:
     """(k1, k2, n_recurring, drop): of each document with lines of recurring templates, the lines that go."""
     lines = written(line_table(rows), "lines")
-    leaves = leaf_templates(rows.select("text"), mixed_leaves(lines)).select("leaf", F.lit(True).alias("one"))
+    leaves = leaf_templates(rows.select("text"), bitmap(mixed_leaves(lines))).select("leaf", F.lit(True).alias("one"))
     lines = lines.join(leaves, "leaf", "left")
     lines = written(lines.select("k1", "k2", "line", F.when(F.col("one"), F.unhex(F.md5(F.col("leaf").cast("string").cast("binary")))).otherwise(F.col("own")).alias("template")), "templates")
     place = F.struct("k1", "k2", "line")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, pieces, written
+from ._common import bitmap, mapped, may_hold, pieces, written
 
 SKETCH = 64
 #: Most classes of a list that gives all its pairs: at first, and of the lists that leaders leave.
@@ -93,27 +93,26 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, sig binary, sketch array<bigint>")
 
 
-def by_rarest(held: DataFrame, least: str, percent: int) -> DataFrame:
-    """(key, node, n, rare): each node under the rarest of its values, by band of size. held: node, n, m (values in all)
-    and v; least: SQL for the number of values that a similar set shares, from n."""
-    shared = held.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) -> DataFrame:
+    """(key, node, n, rare): each node under the rarest of its values, by band of size. values: node, v; sizes: node, n,
+    and m, the number of its values; least: SQL for the number of values that a similar set shares, from n."""
+    shared = values.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     # a node's own values: those that others have too, rarest first; the ones that nobody has come before them
-    rows = held.join(shared, "v").groupBy("node", "n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
+    rows = values.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held")).join(sizes, "node")
     room = (F.size("held") - F.expr(least) + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
-    kept = rows.select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), F.greatest(room, F.lit(0)))).alias("x"))
+    kept = rows.where(room > 0).select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), room)).alias("x"))
     return kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"))
 
 
 def sketch_lists(classes: DataFrame, percent: int) -> DataFrame:
-    held = classes.select("node", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("v"))
     # exact if the similar set's sketch is the whole set too
-    return by_rarest(held, f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})", percent)
+    least = f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})"
+    return by_rarest(classes.select("node", F.explode("sketch").alias("v")), classes.select("node", "n", F.size("sketch").alias("m")), least, percent)
 
 
 def full_lists(sets: DataFrame, percent: int) -> DataFrame:
-    held = sets.select("node", "n", F.col("n").alias("m"), F.explode("shingles").alias("v"))
-    return by_rarest(held, f"(n * {percent} + 99) div 100", percent)
+    return by_rarest(sets.select("node", F.explode("shingles").alias("v")), sets.select("node", "n", F.col("n").alias("m")), f"(n * {percent} + 99) div 100", percent)
 
 
 def distinct_lists(lists: DataFrame) -> DataFrame:
@@ -205,9 +204,11 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     feats = written(features(rows, width), "features")
     real = feats.where("sig is not null and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("sig"))
-    met = sketch_lists(classes, percent).select("key", "node")
+    classes = written(classes, "classes")
+    met = written(sketch_lists(classes, percent).select("key", "node"), "met")
     active = met.join(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("node").distinct()
-    sets = written(full_sets(rows, classes.select("sig", "rid", "node").join(active, "node"), width), "sets")
+    wanted = written(classes.select("sig", "rid", "node").join(active, "node"), "wanted")
+    sets = written(full_sets(rows, wanted, width), "sets")
     lists = written(full_lists(sets, percent).withColumn("open", F.lit(True)), "lists")
     nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
     lists = written(distinct_lists(lists), "lists")
@@ -222,32 +223,33 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
             break
         pairs, led = (written(x, "pairs") for x in candidate_pairs(lists, LATER))
     labels = components(links)
-    of_class = real.groupBy("sig").agg(F.min("doc_id").alias("rid"))
-    of_class = of_class.join(labels, of_class.rid == labels.id, "left").select("sig", F.coalesce("label", "rid").alias("component_id"))
+    of_class = classes.select("sig", "rid").join(labels, classes.rid == labels.id, "left").select("sig", F.coalesce("label", "rid").alias("component_id"))
     grouped = real.select("doc_id", "n_shingles", "sig").join(of_class, "sig").select("doc_id", "n_shingles", "component_id")
     alone = feats.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, sig, rid, n, shingles) of the classes in wanted (node, sig, rid), made again from their texts."""
-    asked = wanted.groupBy("rid").agg(F.collect_set("sig").alias("sigs"))  # the classes of one doc_id
-    texts = rows.join(asked, rows.doc_id == asked.rid).select("rid", "sigs", "text")
+    """(node, sig, rid, n, shingles) of the classes in wanted (node, sig, rid), made again from their texts. A bitmap of
+    the wanted ids, of a fixed size, keeps most other texts from being worked again; the join decides."""
+    bits = rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("rid"))))
+    texts = rows.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for first, found in pieces(batch, "text"):
-                rids, sigs = batch.column("rid").slice(first, len(found)).to_pylist(), batch.column("sigs").slice(first, len(found)).to_pylist()
-                out = []
-                for rid, asked, s in zip(rids, sigs, shingle_sets(found, width, hashes)):
-                    sig = xxhash.xxh3_128_digest(s.tobytes())
-                    if sig in asked:
-                        out.append((sig, rid, len(s), s.view(np.int64)))
-                if out:
-                    a, b, c, d = zip(*out)
-                    yield pa.RecordBatch.from_pydict({"sig": pa.array(a, pa.binary()), "rid": pa.array(b, pa.int64()), "n": pa.array(c, pa.int64()), "shingles": pa.array(d, pa.list_(pa.int64()))})
-
-    made = mapped(texts, run, "sig binary, rid bigint, n bigint, shingles array<bigint>")
+            chosen = batch.filter(pa.array([may_hold(bits.value, h) == 1 for h in batch.column("h").to_pylist()], pa.bool_()))
+            for first, found in pieces(chosen, "text"):
+                sets = shingle_sets(found, width, hashes)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "sig": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        "rid": chosen.column("doc_id").slice(first, len(found)),
+                        "n": pa.array([len(s) for s in sets], pa.int64()),
+                        "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                    }
+                )
+
+    made = mapped(texts, run, "sig binary, rid bigint, n bigint, shingles array<bigint>").join(wanted.select("sig", "rid"), ["sig", "rid"])
     # one row a class, also where rows repeat
     return made.groupBy("sig", "rid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")).withColumn("node", F.xxhash64("sig"))
