@@ -304,8 +304,11 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
             for batch in batches:
                 for first, texts in pieces(batch, "text"):
                     for key, text in zip(batch.column(id_col).slice(first, len(texts)).to_pylist(), texts):
-                        w = windows(*hashes.tokens(text or ""), item)
-                        w = np.unique(w[w != 0])
+                        w = [windows(*hashes.tokens(text or ""), item)]
+                        if not item:  # short items are found as lines of their own
+                            w += [x for line in {*(text or "").split("\n"), text or ""} if len(line) < 400 and len(x := windows(*hashes.tokens(line), item=True)) == 1]
+                        w = np.unique(np.concatenate(w))
+                        w = w[w != 0]
                         total = len(w)
                         yield pa.RecordBatch.from_pydict({id_col: pa.array([key] * total, pa.int64()), "h": pa.array(w.view(np.int64)), "total": pa.array([total] * total, pa.int64())})
 
@@ -315,9 +318,6 @@ def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
     item_windows = mapped(items, of("item_id", True), "item_id bigint, h bigint, total bigint")
     share = doc_windows.distinct().join(item_windows, "h").groupBy("row_key", "item_id").agg(F.count("*").alias("n"), F.first("total").alias("total"))
     likely = share.where(F.col("n") >= SHARE * F.col("total")).select("row_key", "item_id")
-    short = items.where(F.size(F.split(F.trim("text"), r"\s+")) < 2 * WINDOW).select("item_id", F.lower(F.trim("text")).alias("line"))
-    lines = rows.select("row_key", F.explode(F.array_distinct(F.transform(F.concat(F.split("text", "\n"), F.array("text")), lambda x: F.lower(F.trim(x))))).alias("line")).where(F.length("line") < 400)
-    likely = likely.union(lines.join(short, "line").select("row_key", "item_id")).distinct()
     texts = rows.dropDuplicates(["row_key"]).select("row_key", "text")
     pairs = likely.join(items.groupBy("item_id").agg(F.first("text").alias("item")), "item_id").join(texts, "row_key").select("row_key", "item_id", "item", "text")
 
