@@ -212,7 +212,10 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc
     lists = written(full_lists(sets, percent).withColumn("open", F.lit(True)), "lists")
     nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
     lists = written(distinct_lists(lists), "lists")
-    pairs, led = (written(x, "pairs") for x in candidate_pairs(lists, SMALL))
+    pairs, led = candidate_pairs(lists, SMALL)
+    # the first lists of one leader are gone on with as one
+    led = led.groupBy("a", "b").agg(F.min("least").alias("least")).withColumn("key", F.col("a")).select("key", "a", "b", "least")
+    pairs, led = written(pairs, "pairs"), written(led, "pairs")
     links = None
     while True:
         found = written(verified(pairs, led, sets, percent), "verified")
