@@ -7,8 +7,10 @@ Null texts give null. All functions are deterministic, so filters on other colum
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,7 +32,20 @@ def _mapped(column: Column | str, kind: str, arrow_kind: pa.DataType, one) -> Co
 
 def encode(column: Column | str, spec: TokenizerSpec) -> Column:
     """array<int>: content ids of a text or binary column, without special tokens."""
-    return _mapped(column, "array<int>", pa.list_(pa.int32()), lambda v: spec.runtime.encode(as_text(v)))
+
+    @F.arrow_udf("array<int>")
+    def apply(values: pa.Array) -> pa.Array:
+        encode, flat, ends = spec.runtime.encode, array("i"), [0]
+        for v in values.to_pylist():
+            if v is None:
+                ends[-1], at = None, ends[-1]  # a null row begins where the next one does
+                ends.append(at)
+            else:
+                flat.extend(encode(as_text(v)))
+                ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+
+    return apply(column)
 
 
 def count_tokens(column: Column | str, spec: TokenizerSpec) -> Column:

@@ -19,7 +19,7 @@ from tessera.operators import vocabulary
 from tessera.operators.assemble import Padding, assemble, exploded, row_ids
 from tessera.plans import distinct_words
 from tessera.plans.spec import TokenizerSpec
-from tessera.session import ship
+from tessera.session import ship, spread
 from tessera.sources.definitions import definition_from_vocab
 from tessera.sources.files import extract_field_column, framed, lossy_utf8
 
@@ -37,7 +37,8 @@ def spec() -> TokenizerSpec:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    found = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def query(sql: str | None = None):

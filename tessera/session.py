@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -40,3 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores if it comes in fewer partitions than there are, as from one small file. Larger inputs,
+    of which there are more parts than cores, stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
