@@ -25,7 +25,6 @@ import re
 import struct
 import uuid
 import zlib
-from collections import ChainMap
 from functools import lru_cache
 from itertools import chain
 
@@ -227,17 +226,21 @@ class ChunkEncoder:
 
     def _ids(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of parts between blanks that aren't known yet."""
-        words, other = {}, []
+        words, other = [], []
+        match = _WORD.fullmatch
         for p in parts:
-            if (m := _WORD.fullmatch(p)) and p == p.lower():
-                words[p] = m.groups()
+            if (m := match(p)) and p == p.lower():
+                words.append((p, *m.groups()))
             else:
                 other.append(p)
-        pieces: dict[str, bytes] = {}
+        found: dict[str, bytes] = {"": b""}
         memo = self.memo
-        self._latin(list({w for pair in words.values() for w in pair if w and w not in memo}), pieces)
-        get = ChainMap(pieces, memo, {"": b""}).__getitem__
-        return dict(zip(other, self._marked(other))) | pieces | {p: get(a) + get(b) for p, (a, b) in words.items()}
+        self._latin(list({w for _, *pair in words for w in pair if w and w not in memo}), found)
+        for p, word, marks in words:
+            if marks:
+                found[p] = (found[word] if word in found else memo[word]) + (found[marks] if marks in found else memo[marks])
+        found.update(zip(other, self._marked(other)))
+        return found
 
     def _marked(self, parts: list[str]) -> list[bytes]:
         alone = [p for p in parts if self.MARK in p]
@@ -323,15 +326,17 @@ def read_store(spark: SparkSession, uri: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column("file").to_pylist(), batch.column("first_id").to_pylist()):
                 shard = ShardReader(uri, name)
-                order = np.argsort(shard.slots["offset"], kind="stable")
+                held = shard.slots
+                # each document goes through the index: its key must lead to its own slot
+                if not np.array_equal(shard.table.slots(held["fingerprint"]), np.arange(len(held))):
+                    raise ValueError(f"{name}: the index doesn't lead to its documents")
+                order = np.argsort(held["offset"], kind="stable")
                 for at in range(0, len(order), 4096):
                     out = []
-                    for slot in order[at : at + 4096]:
-                        held = shard.slots[slot]
-                        key = None if held["null"] else int(held["doc_id"])
-                        row = shard.find(key, int(held["occurrence"]))
-                        if row is None or row["offset"] != held["offset"]:
-                            raise ValueError(f"{name}: the index doesn't lead to document {key}")
+                    for row in held[order[at : at + 4096]]:
+                        key = None if row["null"] else int(row["doc_id"])
+                        if key_hash(key, int(row["occurrence"])) != int(row["fingerprint"]):
+                            raise ValueError(f"{name}: document {key} has another fingerprint")
                         out.append((key, base + int(row["offset"]), int(row["n"]), zlib.crc32(shard.ids(row).tobytes())))
                     cols = zip(*out)
                     yield pa.RecordBatch.from_pydict({k: pa.array(c, pa.int64()) for k, c in zip(("doc_id", "start", "n_tokens", "ids_crc32"), cols)})
