@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -50,12 +51,12 @@ def as_tensor(value, kind):
         for i, row in enumerate(value):
             out[i] = np.array(row, np.int64)
         return out
-    array = np.asarray(value, np.int64)
-    if kind == "np":
-        return array
-    import torch
+    whole = np.asarray(value, np.int64)
+    if kind == "pt":
+        import torch
 
-    return torch.from_numpy(array)
+        whole = torch.from_numpy(whole)
+    return whole
 
 
 class BatchEncoding(dict):
@@ -78,14 +79,8 @@ class BatchEncoding(dict):
         return self
 
 
-@dataclass(frozen=True)
-class AddedToken:
-    content: str
-    single_word: bool = False
-    lstrip: bool = False
-    rstrip: bool = False
-    normalized: bool = True
-    special: bool = False
+class AddedToken(namedtuple("AddedToken", "content single_word lstrip rstrip normalized special", defaults=(False, False, False, True, False))):
+    __slots__ = ()
 
     def __str__(self):
         return self.content
@@ -122,7 +117,7 @@ class CallStyle:
             self._named[name] = token if token is not None and tokenizer.token_to_id(token) is not None else None
 
     def __repr__(self):
-        return f"{type(self).__name__}(vocab_size={self.vocab_size}, model_max_length={self.model_max_length})"
+        return f"{type(self).__name__}({self.vocab_size} tokens, at most {self.model_max_length})"
 
     def __len__(self):
         return self.tokenizer.get_vocab_size(True)
@@ -229,7 +224,7 @@ class CallStyle:
             width = round_up(width, pad_to_multiple_of)
         if self._wanted({"return_attention_mask": options.get("return_attention_mask")}, "attention_mask") and "attention_mask" not in held:
             held["attention_mask"] = [[1] * n for n in lengths]
-        fill = {"input_ids": self.pad_token_id, "token_type_ids": self.pad_token_type_id, "attention_mask": 0, "special_tokens_mask": 1}
+        fill = dict(special_tokens_mask=1, attention_mask=0, token_type_ids=self.pad_token_type_id, input_ids=self.pad_token_id)
         out = {}
         for key, rows in held.items():
             out[key] = list(rows)

@@ -13,11 +13,12 @@ from . import unicode as U
 class AddedToken:
     id: int
     content: str
-    single_word: bool = False
-    lstrip: bool = False
-    rstrip: bool = False
-    normalized: bool = True
     special: bool = False
+    normalized: bool = True
+    # what may stand around a match
+    rstrip: bool = False
+    lstrip: bool = False
+    single_word: bool = False
 
     @classmethod
     def from_spec(cls, spec: dict) -> AddedToken | None:

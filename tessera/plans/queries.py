@@ -121,7 +121,7 @@ def normalize_bert(spark, folder):
 
 @query()
 def normalize_nfkc_lower(spark, folder):
-    steps = [{"type": "NFKC"}, {"type": "Lowercase"}, {"type": "StripAccents"}]
+    steps = [dict(type=t) for t in ("NFKC", "Lowercase", "StripAccents")]
     other = TokenizerSpec(_with(normalizer={"type": "Sequence", "normalizers": steps}))
     return table(spark, folder, "documents").select("doc_id", columns.normalize("text", other).alias("norm"))
 

@@ -37,13 +37,8 @@ class RaggedIds:
     def __iter__(self):
         return map(self.__getitem__, range(len(self)))
 
-    @property
-    def lengths(self):
-        return np.diff(self.offsets)
-
-    @property
-    def num_tokens(self):
-        return int(self.offsets[-1])
+    lengths = property(lambda self: np.diff(self.offsets))
+    num_tokens = property(lambda self: int(self.offsets[-1]))
 
     def to_list(self):
         return [row.tolist() for row in self]

@@ -9,28 +9,30 @@ from typing import Any
 
 from tessera.plans.spec import TokenizerSpec
 
-NAMED = ("bos_token", "eos_token", "unk_token", "sep_token", "pad_token", "cls_token", "mask_token")
+NAMED = tuple(f"{n}_token" for n in "bos eos unk sep pad cls mask".split())
 SETTINGS = ("clean_up_tokenization_spaces", "do_lower_case", "model_input_names", "model_max_length", "padding_side", "tokenizer_class", "truncation_side")
 _BERT = {f"{n}_token": f"[{n.upper()}]" for n in ("pad", "unk", "cls", "sep", "mask")}
 
 
-def definition_from_vocab(vocab: list[str], lowercase: bool = True, strip_accents: bool | None = None, handle_chinese_chars: bool = True, **names: str) -> str:
+def definition_from_vocab(vocab: list[str], lowercase=True, handle_chinese_chars=True, strip_accents=None, **names: str) -> str:
     """The definition of a BERT tokenizer over a list of tokens; an id is a place in the list, the last one of repeats."""
     if unknown := set(names) - set(_BERT):
         raise TypeError(f"unknown special tokens: {sorted(unknown)}")
     special = _BERT | names
     ids = dict(zip(vocab, range(len(vocab))))
     start, end = special["cls_token"], special["sep_token"]
-    added = [{"id": ids[t], "content": t, "special": True, "normalized": False, "single_word": False, "lstrip": False, "rstrip": False} for t in dict.fromkeys(special.values()) if t in ids]
-    parts = [{"SpecialToken": {"id": start, "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": end, "type_id": 0}}]
+    plain = dict.fromkeys(("rstrip", "lstrip", "single_word", "normalized"), False)
+    added = [plain | dict(content=t, id=ids[t], special=True) for t in dict.fromkeys(special.values()) if t in ids]
+    parts = [{kind: dict(type_id=0, id=name)} for kind, name in (("SpecialToken", start), ("Sequence", "A"), ("SpecialToken", end))]
+    named = {t: dict(tokens=[t], ids=[ids[t]], id=t) for t in (start, end)}
     made = {
         "version": "1.0",
-        "model": {"type": "WordPiece", "vocab": ids, "unk_token": special["unk_token"], "continuing_subword_prefix": "##", "max_input_chars_per_word": 100},
-        "normalizer": {"type": "BertNormalizer", "lowercase": lowercase, "strip_accents": strip_accents, "handle_chinese_chars": handle_chinese_chars, "clean_text": True},
-        "pre_tokenizer": {"type": "BertPreTokenizer"},
+        "model": dict(type="WordPiece", vocab=ids, unk_token=special["unk_token"], continuing_subword_prefix="##", max_input_chars_per_word=100),
+        "normalizer": dict(type="BertNormalizer", lowercase=lowercase, strip_accents=strip_accents, handle_chinese_chars=handle_chinese_chars, clean_text=True),
+        "pre_tokenizer": dict(type="BertPreTokenizer"),
         "added_tokens": sorted(added, key=lambda t: t["id"]),
-        "post_processor": {"type": "TemplateProcessing", "single": parts, "pair": parts, "special_tokens": {t: {"id": t, "ids": [ids[t]], "tokens": [t]} for t in (start, end)}},
-        "decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True},
+        "post_processor": dict(type="TemplateProcessing", single=parts, pair=parts, special_tokens=named),
+        "decoder": dict(type="WordPiece", prefix="##", cleanup=True),
     }
     return json.dumps(made)
 
@@ -41,9 +43,9 @@ def read_vocab(path: str | os.PathLike) -> list[str]:
 
 def _config(folder: Path) -> dict[str, Any]:
     out: dict[str, Any] = {}
-    for name in ("special_tokens_map.json", "tokenizer_config.json"):
-        if (folder / name).is_file():
-            held = json.loads((folder / name).read_text(encoding="utf-8"))
+    for file in map(folder.joinpath, ("special_tokens_map.json", "tokenizer_config.json")):
+        if file.is_file():
+            held = json.loads(file.read_text("utf-8"))
             for key in (*SETTINGS, *NAMED):
                 if held.get(key) is not None:
                     out[key] = held[key].get("content") if isinstance(held[key], dict) else held[key]
@@ -58,7 +60,7 @@ def _from_folder(folder: Path, definition: Path | None = None) -> TokenizerSpec:
     if not (folder / "vocab.txt").is_file():
         raise FileNotFoundError(f"{folder}: neither tokenizer.json nor vocab.txt is there")
     names = {k: config[k] for k in _BERT if k in config}
-    return TokenizerSpec(definition_from_vocab(read_vocab(folder / "vocab.txt"), lowercase=bool(config.get("do_lower_case", True)), **names), config)
+    return TokenizerSpec(definition_from_vocab(read_vocab(folder / "vocab.txt"), **names, lowercase=config.get("do_lower_case", True) is not False), config)
 
 
 def load(source: Any) -> TokenizerSpec:

@@ -113,9 +113,9 @@ def test_text_files(spark, tmp_path, tok, separator, times):
 
 def test_framing_and_bytes(spark, tmp_path):
     assert [has_border(s) for s in ("\n\n", "abab", "\n", "<|x|>")] == [True, True, False, False]
-    one = spark.createDataFrame([("aaa\n\n\nbbb\n\nccc\n\n\n\nddd",)], "t string").select(framed("t", "\n\n").alias("x")).first().x
-    assert one == ["aaa", "\nbbb", "ccc", "", "ddd"]
-    raw = b"caf\xc3\xa9 \xff\xfe broken \xe2\x82 end<|endoftext|>second \xc3"
+    one = spark.createDataFrame([("one\n\n\ntwo\n\nthree\n\n\n\nfour",)], "t string").select(framed("t", "\n\n").alias("x")).first().x
+    assert one == ["one", "\ntwo", "three", "", "four"]
+    raw = b"\xc3\xa9t\xc3\xa9 \xfe\xff spoilt \xe2\x82 part<|endoftext|>more \xc3"
     (tmp_path / "x").write_bytes(raw)
     for source, want in ((TextFiles(tmp_path / "x", b"<|endoftext|>"), raw.split(b"<|endoftext|>")), (tmp_path / "x", [raw])):
         assert [r.text for r in read_documents(spark, source).orderBy("doc_index").collect()] == [w.decode("utf-8", "replace") for w in want]
@@ -130,9 +130,8 @@ def test_jsonl(spark, tmp_path):
     ship(spark)
     lines = []
     for i in range(120):
-        lines.append(json.dumps({"id": i, "text": f"é text {i}", "meta": {"n": [1, {"text": "no"}]}}, ensure_ascii=bool(i % 2)))
-        if i % 50 == 0:
-            lines.append("   ")
+        lines.append(json.dumps(dict(meta={"n": [1, {"text": "no"}]}, text=f"é text {i}", id=i), ensure_ascii=i % 2 > 0))
+        lines += ["   "] * (i % 40 == 3)
     (tmp_path / "a.jsonl").write_bytes("\r\n".join(lines).encode())
     spark.conf.set("spark.sql.files.maxPartitionBytes", "900b")
     try:
