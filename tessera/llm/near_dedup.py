@@ -41,7 +41,7 @@ from ._common import bitmap, mapped, may_hold, pieces, written
 
 SKETCH = 64
 #: Most classes of a list that gives all its pairs: at first, and of the lists that leaders leave.
-SMALL, LATER = 8, 96
+SMALL, LATER = 8, 512
 _U = np.uint64
 
 
