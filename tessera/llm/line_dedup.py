@@ -3,14 +3,20 @@
 Lines (parted by \\n) of at least MIN_TOKENS tokens go down a tree: first by their number of tokens, then by their LEADING
 first tokens, where a token with a digit counts as a variable field. At a leaf all lines meet token by token: where they
 differ there is a variable field. If LITERAL of the meeting's tokens are left, the leaf is one template, whatever stands
-in its fields; otherwise each line keeps its own template, in which only tokens with digits are fields. The meeting is
-associative and idempotent, so tasks meet what they have first and a leaf gets one row of each task at most.
+in its fields. The meeting is associative and idempotent, so tasks meet what they have first and a leaf gets one row of
+each task at most.
+
+A leaf whose meeting keeps too little is split: there each two lines that meet with LITERAL of their tokens left are of
+one template, whatever else the leaf holds, and a line's template holds the line, its equals (digits aside) and all lines
+it meets so. All such pairs are found: they differ in n - ceil(LITERAL n) tokens at most, so of one part of the tokens
+more than that the lines have one part in common. Lines that share a part are compared with the first of them; those that
+don't meet it are compared with all of the part.
 
 A template that stands in two documents or more is boilerplate or a copied passage: all its lines are dropped but the
 first, by doc_id and line. Lines repeated within a single document only are left alone, as are short ones.
 
-What is shuffled: a fixed-size row for each line, the met templates of leaves that hold different lines, and once the
-texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap over
+What is shuffled: a fixed-size row for each line, the met templates of leaves that hold different lines, the different
+lines of split leaves with a hash for each token and part, and once the texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap over
 hashes of leaves, of a fixed size whatever the input; leaves that share a place with such a leaf
 only cost some shuffling. Only a document's own lines are ever gathered in one row.
 
@@ -21,8 +27,10 @@ stay as they are but for the text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,6 +57,10 @@ def _signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
+def _own(tokens: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(tokens).encode())
+
+
 def met(a: list[str], b: list[str]) -> list[str]:
     return [x if x == y else FIELD for x, y in zip(a, b)]
 
@@ -102,21 +114,91 @@ def line_table(rows: DataFrame) -> DataFrame:
                     for n, line in enumerate((text or "").split("\n")):
                         leaf, tokens = template(line)
                         if tokens:
-                            out.append((a, b, n, leaf, xxhash.xxh3_128_digest(" ".join(tokens).encode())))
+                            out.append((a, b, n, leaf, _own(tokens)))
                 cols = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_pydict({"k1": pa.array(cols[0], pa.int64()), "k2": pa.array(cols[1], pa.int64()), "line": pa.array(cols[2], pa.int32()), "leaf": pa.array(cols[3], pa.int64()), "own": pa.array(cols[4], pa.binary())})
 
     return mapped(rows, run, "k1 bigint, k2 bigint, line int, leaf bigint, own binary")
 
 
+def parts_of(leaf: int, tokens: list[str]) -> list[int]:
+    """Hashes of the parts of a line's tokens, of which lines that meet share one; a part with a field is in no meeting."""
+    n = len(tokens)
+    count = n - math.ceil(LITERAL * n) + 1
+    shares = (tokens[LEADING + k :: count] for k in range(count))
+    return [_signed(f"{leaf} {k} {' '.join(share)}") for k, share in enumerate(shares) if FIELD not in share]
+
+
+def split_lines(texts: DataFrame, split: bytes) -> DataFrame:
+    """(own, tokens, parts) for the lines of split leaves, with a hash of 8 bytes for each token, 0 for a field; texts: text."""
+    bitmap = texts.sparkSession.sparkContext.broadcast(split)  # of a fixed size
+
+    def run(batches):
+        bits = bitmap.value
+        for batch in batches:
+            for _, part in pieces(batch, "text"):
+                held: dict[bytes, tuple[bytes, list[int]]] = {}
+                for text in part:
+                    for line in (text or "").split("\n"):
+                        leaf, tokens = template(line)
+                        if tokens and may_hold(bits, leaf) and (own := _own(tokens)) not in held:
+                            codes = np.array([0 if t == FIELD else xxhash.xxh3_64_intdigest(t.encode()) for t in tokens], np.uint64)
+                            held[own] = codes.tobytes(), parts_of(leaf, tokens)
+                cols = list(zip(*held.values())) or [()] * 2
+                yield pa.RecordBatch.from_pydict({"own": pa.array(held.keys(), pa.binary()), "tokens": pa.array(cols[0], pa.binary()), "parts": pa.array(cols[1], pa.list_(pa.int64()))})
+
+    return mapped(texts, run, "own binary, tokens binary, parts array<bigint>").dropDuplicates(["own"])
+
+
+def that_meet(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines that meet with LITERAL of their tokens left; tokens: own, tokens."""
+    for side in "ab":
+        pairs = pairs.join(tokens.select(F.col("own").alias(side), F.col("tokens").alias(f"t{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (batch.column(c).to_pylist() for c in ("ta", "tb"))
+            sizes = np.array([len(t) >> 3 for t in left])
+            if any(len(x) != len(y) for x, y in zip(left, right)):
+                raise ValueError("lines of one part differ in length")
+            x, y = (np.frombuffer(b"".join(t), np.uint64) for t in (left, right))
+            same = np.add.reduceat(((x == y) & (x != 0)).astype(np.int64), np.append(0, np.cumsum(sizes)[:-1]))
+            yield batch.select(["a", "b"]).filter(pa.array(same >= np.ceil(LITERAL * sizes)))
+
+    return mapped(pairs.select("a", "b", "ta", "tb"), run, "a binary, b binary")
+
+
+def met_lines(found: DataFrame, templates: DataFrame) -> DataFrame:
+    """(a, b), both ways, of the lines of split leaves that meet; found: own, tokens, parts; templates: template, first."""
+    tokens = found.select("own", "tokens")
+    shared = found.select("own", F.explode("parts").alias("part")).join(templates.select(F.col("template").alias("own"), "first"), "own")
+    leaders = shared.groupBy("part").agg(F.min(F.struct("first", "own")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    shared = written(shared.join(leaders, "part").select("part", "own", F.col("leader.own").alias("leader")), "parts")
+    first = written(that_meet(shared.where("own <> leader").select(F.col("leader").alias("a"), F.col("own").alias("b")).distinct(), tokens), "meet")
+    others = shared.where("own <> leader")
+    rest = others.join(first.select(F.col("a").alias("leader"), F.col("b").alias("own")), ["leader", "own"], "left_anti").select("part", F.col("own").alias("x"))
+    pairs = rest.join(others.select("part", F.col("own").alias("y")), "part").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = first.union(that_meet(pairs, tokens))
+    return links.union(links.select("b", "a"))
+
+
 def _dropped(rows: DataFrame) -> DataFrame:
     """(k1, k2, n_recurring, drop): of each document with lines of recurring templates, the lines that go."""
     lines = written(line_table(rows), "lines")
-    leaves = leaf_templates(rows.select("text"), bitmap(mixed_leaves(lines))).select("leaf", F.lit(True).alias("one"))
+    mixed = written(mixed_leaves(lines), "mixed")
+    leaves = written(leaf_templates(rows.select("text"), bitmap(mixed)).select("leaf", F.lit(True).alias("one")), "leaves")
+    split = bitmap(mixed.join(leaves, "leaf", "left_anti"))
     lines = lines.join(leaves, "leaf", "left")
     lines = written(lines.select("k1", "k2", "line", F.when(F.col("one"), F.unhex(F.md5(F.col("leaf").cast("string").cast("binary")))).otherwise(F.col("own")).alias("template")), "templates")
     place = F.struct("k1", "k2", "line")
     templates = lines.groupBy("template").agg(F.min(place).alias("first"), F.max(F.struct("k1", "k2")).alias("last"))
+    if any(split):
+        templates = written(templates, "places")
+        links = met_lines(written(split_lines(rows.select("text"), split), "split"), templates)
+        met = links.join(templates.withColumnRenamed("template", "b"), "b").select(F.col("a").alias("template"), "first", "last")
+        templates = templates.union(met).groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     recurring = templates.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("template", "first")
     found = lines.join(recurring, "template")
     later = F.when(F.col("first") != place, F.col("line"))
