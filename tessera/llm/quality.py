@@ -5,7 +5,8 @@ classes and of common words over all documents of that `lang` that pass the base
 in whole millionths, so the sums don't depend on the order of tasks; what reaches the driver is a vector for each of at
 most four languages. Pass two compares each document with the nearest reference by the Jensen-Shannon distance (base 2,
 0 to 1). The nearest reference counts, not the one of the document's own lang, as labels err. Documents under MIN_CHARS
-or MIN_WORDS aren't compared, nor is any if no language has MIN_DOCS documents.
+or MIN_WORDS aren't compared, nor are those whose lang is null or has no reference, as it has no list or fewer than
+MIN_DOCS documents: other languages say nothing about them.
 
 Defined results: a null text has no words and fails the base rules; null and repeated doc_ids pass through, a row for
 each row; other columns are ignored; an empty table gives an empty result.
@@ -153,8 +154,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     char_distance and word_distance (null where nothing is compared)."""
     refs = references(docs, text_col, lang_col)
 
-    def verdict(text, words):
-        if not refs or len(text) < MIN_CHARS or len(words) < MIN_WORDS:
+    def verdict(text, words, lang):
+        if lang not in refs or len(text) < MIN_CHARS or len(words) < MIN_WORDS:
             return None, None, None, True
         chars, common = histograms(text, words)
         word, lang = min((js_distance(common, r[1]), lang) for lang, r in refs.items())
@@ -163,12 +164,13 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     def run(batches):
         for batch in batches:
+            langs = batch.column("lang").to_pylist()
             for first, texts in pieces(batch, "text"):
                 rows = []
-                for text in texts:
+                for text, own in zip(texts, langs[first : first + len(texts)]):
                     words = text.encode().split() if text else []
                     counts = base(text, words)
-                    lang, char, word, ok = verdict(text, words) if text else (None, None, None, True)
+                    lang, char, word, ok = verdict(text, words, own) if text else (None, None, None, True)
                     rows.append((*counts, ok and not counts[-1], lang, char, word))
                 cols = list(zip(*rows))
                 kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string(), pa.float64(), pa.float64()]
@@ -177,7 +179,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ref_lang", "char_distance", "word_distance"]
     kinds = [docs.schema[id_col].dataType.simpleString()] + ["bigint"] * 5 + ["boolean"] * 2 + ["string", "double", "double"]
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
-    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, schema)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -187,11 +189,12 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     def run(batches):
         for batch in batches:
             keep = []
-            for _, texts in pieces(batch, text_col):
-                for text in texts:
+            langs = batch.column(lang_col).to_pylist()
+            for first, texts in pieces(batch, text_col):
+                for text, own in zip(texts, langs[first : first + len(texts)]):
                     words = text.encode().split() if text else []
                     ok = not base(text, words)[-1]
-                    if ok and refs and len(text) >= MIN_CHARS:
+                    if ok and own in refs and len(text) >= MIN_CHARS:
                         chars, common = histograms(text, words)
                         word, lang = min((js_distance(common, r[1]), lang) for lang, r in refs.items())
                         ok = word <= MAX_WORD_DISTANCE and js_distance(chars, refs[lang][0]) <= MAX_CHAR_DISTANCE
