@@ -2,7 +2,8 @@
 
 The index holds, for each word of the templates, its postings (template, position). How rare a word is comes from its
 document frequency over the whole corpus, counted for the words of the templates only, so what is gathered has a fixed
-bound. For each file the RAREST licence words it holds are looked up; each place of such a word votes for the start
+bound. For each template whose key phrases all stand in a file, the words of these and the RAREST other ones of the
+template's words that the file holds are looked up; each place of such a word votes for the template's start
 (place in the file less position in the template) of each of its postings, and words that agree on a start are an
 intersection of postings by relative position. A start with enough different words is verified: all mandatory key
 phrases must stand within the template's reach, and the share of the template's words found there must be MIN_SHARE.
@@ -116,17 +117,24 @@ def method_labels(words: list[bytes], rarity: dict[bytes, float]) -> dict[str, f
     present = set(words)
     if present.isdisjoint(found.needed):
         return {}
-    rare = sorted((w for w in present if w in rarity), key=lambda w: (-rarity[w], w))[:RAREST]
-    chosen = set(rare)
+    joined = b" " + b" ".join(words) + b" "
+    chosen: dict[int, set[bytes]] = {}
+    for t, keys in enumerate(found.keys):
+        if all(b" " + k + b" " in joined for k in keys):
+            own = {w for k in keys for w in k.split()}
+            rare = sorted((w for w in present.intersection(found.words[t]) - own if w in rarity), key=lambda w: (-rarity[w], w))[:RAREST]
+            chosen[t] = own.union(rare)
+    looked_up = set().union(*chosen.values())
     votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
     for place, w in enumerate(words):
-        if w in chosen:
+        if w in looked_up:
             for t, p in found.postings[w]:
-                votes[t, place - p].add(w)
+                if t in chosen and w in chosen[t]:
+                    votes[t, place - p].add(w)
     out: dict[str, float] = {}
     for (t, start), by in votes.items():
         template = found.words[t]
-        if len(by) < min(2, len(set(template) & chosen)) or out.get(found.labels[t], 0) >= 1:
+        if len(by) < min(2, len(set(template) & chosen[t])) or out.get(found.labels[t], 0) >= 1:
             continue
         window = words[max(0, start - SLACK) : start + len(template) + SLACK]
         text = b" " + b" ".join(window) + b" "
