@@ -12,8 +12,12 @@ it meets so. All such pairs are found: they differ in n - ceil(LITERAL n) tokens
 more than that the lines have one part in common. Lines that share a part are compared with the first of them; those that
 don't meet it are compared with all of the part.
 
+Lines of fewer tokens, but MIN_CHARS characters or more (blanks between tokens count as one each), have no fields: each
+is its own template, digits and all. So short boilerplate and lines of scripts without blanks are met if they are equal.
+
 A template that stands in two documents or more is boilerplate or a copied passage: all its lines are dropped but the
-first, by doc_id and line. Lines repeated within a single document only are left alone, as are short ones.
+first, by doc_id and line. Lines repeated within a single document only are left alone, as are those that are short in
+tokens and characters.
 
 What is shuffled: a fixed-size row for each line, the met templates of leaves that hold different lines, the different
 lines of split leaves with a hash for each token and part, and once the texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap over
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from ._common import bitmap, mapped, may_hold, pieces, written
 
 MIN_TOKENS, LEADING, LITERAL = 6, 3, 0.75
+#: Least length of a line of fewer tokens.
+MIN_CHARS = 20
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
@@ -53,6 +59,13 @@ def template(line: str) -> tuple[int, list[str]]:
     return _signed(f"{len(tokens)} {' '.join(tokens[:LEADING])}"), tokens
 
 
+def exact(line: str) -> tuple[int, list[str]]:
+    """Leaf of its own and tokens of a line of few tokens; no tokens if it is too short in characters too."""
+    tokens = line.split() if len(line) >= MIN_CHARS else []
+    joined = " ".join(tokens)
+    return (_signed(f"exact {joined}"), tokens) if len(joined) >= MIN_CHARS else (0, [])
+
+
 def _signed(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
@@ -113,6 +126,8 @@ def line_table(rows: DataFrame) -> DataFrame:
                 for a, b, text in zip(k1, k2, part):
                     for n, line in enumerate((text or "").split("\n")):
                         leaf, tokens = template(line)
+                        if not tokens:
+                            leaf, tokens = exact(line)
                         if tokens:
                             out.append((a, b, n, leaf, _own(tokens)))
                 cols = list(zip(*out)) or [()] * 5
