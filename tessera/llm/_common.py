@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.session import shared_dir, ship
 
@@ -26,6 +27,14 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return df.mapInArrow(fn, schema)
 
 
+def integer_id(df: DataFrame, column: str) -> Column:
+    """The column as bigint; one of another kind is refused here, before a cast could turn its values into nulls."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{column} must hold integers, not {kind.simpleString()}")
+    return F.col(column).cast("bigint")
+
+
 #: Frees the shuffle files of a written table at once; they aren't needed again, as it is read from its files.
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -40,7 +49,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, before) if before is not None else spark.conf.unset(_CLEAN_UP)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.tessera_path = path
+    return found
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that is read from them is written in turn."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.tessera_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Places of a bitmap that is collected and broadcast: 8 MB, whatever the input's size.
@@ -49,7 +68,7 @@ BITMAP_PLACES = 1 << 26
 
 def bitmap(hashes: DataFrame) -> bytes:
     """A bitmap of the 64-bit hashes in the only column; may_hold() is true for each of them, and for few others."""
-    place = hashes.select(F.col(hashes.columns[0]).bitwiseAND(BITMAP_PLACES - 1).alias("place"))
+    place = hashes.select((F.col(hashes.columns[0]).bitwiseAND(BITMAP_PLACES - 1) + 1).alias("place"))  # from 1, as Spark's positions
     words = place.groupBy(F.bitmap_bucket_number("place").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros(BITMAP_PLACES // 8 + 8192, np.uint8)
     for r in words.collect():  # BITMAP_PLACES / 32768 rows of 4 kB at most
@@ -59,8 +78,8 @@ def bitmap(hashes: DataFrame) -> bytes:
 
 
 def may_hold(bits: bytes, value: int) -> int:
-    """Whether the bitmap has the place of a hash; Spark numbers positions from 1, in buckets of 32768."""
-    at = (value & (BITMAP_PLACES - 1)) - 1
+    """Whether the bitmap has the place of a hash."""
+    at = value & (BITMAP_PLACES - 1)
     return bits[at >> 3] >> (at & 7) & 1
 
 

@@ -10,12 +10,14 @@ of ids, so a lookup costs a few hashes and one slot, and a foreign key is refuse
 
 write_store() deals the documents out by ranges of the key, encodes each shard in the task that writes it, and renames
 the finished file to its name, so a task that is repeated writes the same file again. Offsets within a shard are local;
-the manifest, a row per shard, adds the shards before it. Memory is one batch and the index of one shard.
+the manifest, a row per shard, adds the shards before it and the keys that each begins and ends with, so TokenStore
+finds the shard of a key by bisection and asks that shard's index alone. Shards are dealt by size, of about SHARD_BYTES
+of text and SHARD_DOCS documents, whatever the session's partitions. Memory is one batch and the index of one shard.
 
 Defined results: a null text is an empty one (only the end id); a null doc_id sorts first and can be looked up as None;
-rows that repeat a doc_id are kept in order of their text hash and reached by their
-occurrence number in a shard (a much repeated one may span shards); an empty table gives a
-store without shards; other columns are ignored.
+rows that repeat a doc_id are kept in order of their text hash and reached by their occurrence number, also where they
+span shards; an empty table gives a store without shards; other columns are ignored; a doc_id column that holds no
+integers is refused at once.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, takewhile
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
-from ._common import mapped, pieces
+from ._common import integer_id, mapped, pieces
 
 MAGIC = 0x3145524F54534B54
 _FOOTER = struct.Struct("<6Q")
@@ -48,6 +52,8 @@ _NOT_LATIN = re.compile("[\u0130\u0250-\U0010ffff]")
 _LETTERS = "[a-zß-öø-ÿĀ-įı-ɏ]+"
 _WORD = re.compile(f"({_LETTERS})([!-&(-/:-@\\[-`{{-~]*)")
 _RANK = 512  # bits between two stored ranks
+#: About the text and the documents of a shard.
+SHARD_BYTES, SHARD_DOCS = 64 << 20, 250_000
 
 
 def key_hash(doc_id: int | None, occurrence: int = 0) -> int:
@@ -139,11 +145,11 @@ class ShardWriter:
         self.width = width
         self.path, self.held = f"{folder}/{name}", f"{folder}/_{name}.{uuid.uuid4().hex}"
         self.out = self.fs.open_output_stream(self.held)
-        self.ids, self.slots, self.last, self.seen = 0, [], object(), 0
+        self.ids, self.slots, self.first, self.last, self.seen = 0, [], None, object(), 0
 
     def add(self, doc_id: int | None, payload: bytes) -> None:
         self.seen = self.seen + 1 if doc_id == self.last else 0
-        self.last = doc_id
+        self.first, self.last = self.first if self.slots else doc_id, doc_id
         key = key_hash(doc_id, self.seen)
         self.out.write(payload)
         self.slots.append((key, self.ids, len(payload) // self.width, self.seen, doc_id is None, doc_id or 0))
@@ -192,7 +198,8 @@ class ChunkEncoder:
 
     The vocabulary's normalizer and pre-tokenizer never join what a space or line feed parts, so a text's ids are those
     of its parts in order. Parts that aren't known go to the library many at a time, with a special token between them.
-    Texts of Latin letters are lower-cased here already, as the normalizer does, so that fewer parts differ. Latin words,
+    Texts of Latin letters are lower-cased here already, as the normalizer does, so that fewer parts differ; but not those
+    that hold what added tokens begin with, as these are looked for before normalizing, in their own case. Latin words,
     and the marks behind them, are pre-tokens by themselves: they go in without the normalizer, and each one's ids end
     with an id of the end-of-word kind."""
 
@@ -208,8 +215,11 @@ class ChunkEncoder:
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: what all added tokens begin with, as far as it has no case; '' stands in every text
+        self.head = "".join(takewhile(lambda c: c.lower() == c.upper(), commonprefix(added))) if added else "\0\0"
         probe = "One <|endoftext|>two\n\nthree's  4á ́x ΑΣ Σ."
-        for text in (probe, "ÉTÉ 'S Don't x** a_b *x !!. straße|", ""):
+        for text in (probe, probe.upper(), "ÉTÉ 'S Don't x** a_b *x !!. straße|", ""):
             if self.mark is None or np.frombuffer(self.encode([text])[0], self.kind).tolist() != self.tokenizer.encode(text, add_special_tokens=False).ids:
                 raise ValueError("this vocabulary needs whole texts")
 
@@ -258,7 +268,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, in the width of `kind`."""
-        split = [(t if _NOT_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        head = self.head
+        split = [(t if head in t or _NOT_LATIN.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         known = self.memo
         if new := list(set(chain.from_iterable(split)).difference(known)):
             found = self._ids(new)
@@ -280,7 +291,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2,
     spark = docs.sparkSession
     files, folder = _filesystem(uri)
     files.create_dir(folder, recursive=True)
-    shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    shards = n_shards or _shards(rows)
+
     def run(batches):
         from pyspark import TaskContext
 
@@ -295,22 +308,61 @@ def write_store(docs: DataFrame, tokenizer_path: str, uri: str, end_id: int = 2,
                     writer.add(key, ids + end)
         if writer is not None:
             n, ids = writer.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([n], pa.int64()), "n_ids": pa.array([ids], pa.int64())})
+            row = {"shard": shard, "n_docs": n, "n_ids": ids, "first_key": writer.first, "last_key": writer.last, "n_last": writer.seen + 1}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), *((k, pa.int64()) for k in list(row)[1:])]))
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    manifest, before, docs_before = [], 0, 0
-    for r in sorted(mapped(dealt, run, "shard int, n_docs bigint, n_ids bigint").collect()):  # a row a shard
-        manifest.append({"shard": r.shard, "file": f"shard-{r.shard:06d}.bin", "n_docs": r.n_docs, "n_ids": r.n_ids, "first_id": before})
+    manifest, before, docs_before, open_key, open_n = [], 0, 0, None, 0
+    made = mapped(dealt, run, "shard int, n_docs bigint, n_ids bigint, first_key bigint, last_key bigint, n_last bigint").collect()  # a row a shard
+    for r in sorted(made, key=lambda r: r.shard):
+        earlier = open_n if manifest and r.first_key == open_key else 0
+        manifest.append({"shard": r.shard, "file": f"shard-{r.shard:06d}.bin", "n_docs": r.n_docs, "n_ids": r.n_ids, "first_id": before, "first_key": r.first_key, "last_key": r.last_key, "first_occurrence": earlier})
         before += r.n_ids
         docs_before += r.n_docs
+        open_key, open_n = r.last_key, r.n_last + (earlier if r.first_key == r.last_key else 0)
     found = {"format": 1, "n_docs": docs_before, "n_ids": before, "shards": manifest}
     with files.open_output_stream(f"{folder}/manifest.json") as out:
         out.write(json.dumps(found).encode())
     return found
 
 
+def _shards(rows: DataFrame) -> int:
+    """Shards by the size of what goes in; a small input still gets one for each core, of 1 MB or more."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // SHARD_BYTES), -(-n // SHARD_DOCS), min(4 * cores, size >> 20))
+
+
+class TokenStore:
+    """Keyed access to a whole store: the manifest tells the shard, its index the place."""
+
+    def __init__(self, uri: str):
+        self.uri, self.shards = uri, read_manifest(uri)["shards"]
+        self.last = [_sorted_key(s["last_key"]) for s in self.shards]
+        self.open: dict[str, ShardReader] = {}
+
+    def get(self, doc_id: int | None, occurrence: int = 0) -> np.ndarray | None:
+        """Ids of the document, or None if there is no such one."""
+        at = bisect_left(self.last, _sorted_key(doc_id))
+        for s in self.shards[at:]:
+            if _sorted_key(s["first_key"]) > _sorted_key(doc_id):
+                break
+            here = occurrence - (s["first_occurrence"] if s["first_key"] == doc_id else 0)
+            if here < 0:
+                break
+            if s["file"] not in self.open:
+                self.open[s["file"]] = ShardReader(self.uri, s["file"])
+            found = self.open[s["file"]].get(doc_id, here)
+            if found is not None or s["last_key"] != doc_id:
+                return found
+        return None
+
+
+def _sorted_key(doc_id: int | None) -> tuple[bool, int]:
+    return doc_id is not None, doc_id or 0
+
+
 def read_manifest(uri: str) -> dict:
     files, folder = _filesystem(uri)
     with files.open_input_stream(f"{folder}/manifest.json") as f:

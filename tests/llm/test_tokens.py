@@ -11,7 +11,7 @@ from tessera.llm.queries import PIECES, WORDS, vocabulary
 from tessera.llm.sentencepiece_codec import encode
 from tessera.llm.token_counts import count_tokens, merger
 from tessera.llm.token_pieces import hexdigest, piece_model
-from tessera.llm.token_store import PerfectHash, ShardReader, chunk_encoder, key_hash, read_manifest, read_store, write_store
+from tessera.llm.token_store import PerfectHash, ShardReader, TokenStore, chunk_encoder, key_hash, read_manifest, read_store, write_store
 
 pytest.importorskip("public_tokenizers")
 
@@ -87,6 +87,30 @@ def test_store_round_trip(spark, docs, rows, tmp_path):
     assert write_store(docs.limit(0), vocabulary(WORDS), empty)["n_docs"] == 0 and read_store(spark, empty).count() == 0
 
 
+def test_added_tokens_keep_their_case():
+    e = chunk_encoder(vocabulary(WORDS))
+    r = random.Random(5)
+    pool = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", "<|startoftext|>", "<|", "|>", "endoftext", "ENDOF", "a", "B", " ", "\n", "É", "'S", "*", "İ", "中", "Σ", "x1", "<", "|", ">", "the", "\u0301", "\xa0"]
+    found = ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) for _ in range(10_000)]
+    for t, got in zip(found, e.encode(found)):
+        assert np.frombuffer(got, e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_keyed_access_over_shards(spark, tmp_path):
+    rows = [(None, "none"), (None, "none again"), *((i, f"text {i}") for i in range(-20, 60)), *((7, f"seven {k}") for k in range(120)), (2**40, "far"), (61, "word " * 200_000)]
+    uri = str(tmp_path / "keyed")
+    write_store(spark.createDataFrame(rows, "doc_id bigint, text string"), vocabulary(WORDS), uri, n_shards=6)
+    store, e = TokenStore(uri), chunk_encoder(vocabulary(WORDS))
+    assert len(store.shards) > 2 and sum(s["first_key"] <= 7 <= s["last_key"] for s in store.shards if s["first_key"] is not None) > 1
+    for key in {i for i, _ in rows}:
+        want = sorted(e.tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in rows if i == key)
+        assert sorted(store.get(key, k).tolist() for k in range(len(want))) == want
+        assert store.get(key, len(want)) is None
+    assert store.get(123_456) is None and store.get(-10**9) is None and store.get(2**50) is None
+    with pytest.raises(TypeError):
+        write_store(spark.createDataFrame([("1", "a")], "doc_id string, text string"), vocabulary(WORDS), uri)
+
+
 def test_perfect_hash():
     keys = np.array([key_hash(i) for i in range(5000)], np.uint64)
     table = PerfectHash.build(keys)
