@@ -1,13 +1,11 @@
-"""Secret scan with an inverted index of trigrams, in DataFrame functions only.
+"""Secret scan by trigram queries over a document's postings, in DataFrame functions only.
 
 trigram_query() derives from each rule's regex a Boolean query: every match, lower-cased, holds all trigrams of one of
-its alternatives. scan() builds the postings (trigram, document) of the trigrams that the rules ask for, intersects them
-per document into the rules that may match, and verifies only those with their regex. A rule without mandatory trigrams
-scans every text in full. The query and the pattern are prepared on the driver; no Python runs on the executors.
-
-The postings have a row for each of the rules' trigrams that a document holds, so at most a fixed number a document, and
-meet by document, so a frequent trigram makes no hot group. Documents meet under a hash of id and text: rows that are
-equal there share their candidates, which is harmless, since candidates are verified on each row's own text.
+each clause's alternatives. holds() intersects the postings of these trigrams for a document: whether a document is in a
+trigram's postings is asked of its own lower-cased text, trigram by trigram, and the first one missing ends it. So the
+index lies where the texts are: nothing is shuffled, joined or gathered, and a frequent trigram makes no hot group. Only
+the rules whose query holds are verified with their regex. A rule without mandatory trigrams scans every text in full.
+The query and the pattern are prepared on the driver; no Python runs on the executors.
 
 Matches are leftmost and non-overlapping for each kind; positions are code points, end exclusive. They are taken from
 what a split by the regex leaves between the matches.
@@ -105,8 +103,8 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def _spans(text: Column, regex: str, least: int) -> Column:
-    """array<struct<start, end>> of the matches, those with too short a group 2 left out."""
+def _spans(text: Column, regex: str, least: int, candidate: Column) -> Column:
+    """array<struct<start, end>> of a candidate's matches, those with too short a group 2 left out."""
     between = F.split(text, regex, -1)
     match = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     size = F.regexp_extract_all(text, F.lit(regex), F.lit(2)) if least else match
@@ -120,50 +118,32 @@ def _spans(text: Column, regex: str, least: int) -> Column:
         return F.struct(end.alias("at"), (F.concat(acc["out"], F.when(x["value"] >= least, one).otherwise(none)) if least else F.concat(acc["out"], one)).alias("out"))
 
     found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(regex)), found).otherwise(none)
-
-
-def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
-    """(gram, row_key) for each of `grams` that a row's lower-cased text holds; rows: row_key, text."""
-    known = F.array(*map(F.lit, grams))
-    held = F.transform(F.array(F.lower("text")), lambda low: F.filter(known, lambda g: F.contains(low, g)))[0]
-    return rows.select(F.explode(held).alias("gram"), "row_key")
-
-
-def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]]) -> DataFrame:
-    """(row_key, kinds): the rules whose trigram queries hold, from intersected postings."""
-    met = index.groupBy("row_key").agg(F.collect_set("gram").alias("grams"))  # at most the rules' trigrams
-
-    def holds(clauses):
-        out = F.lit(True)
-        for clause in clauses:
-            either = F.lit(False)
-            for grams in clause:
-                every = F.lit(True)
-                for g in sorted(grams):
-                    every &= F.array_contains("grams", g)
-                either |= every
-            out &= either
-        return out
-
-    kinds = F.array_compact(F.array(*(F.when(holds(q), F.lit(k)) for k, q in queries.items())))
-    return met.select("row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
+    return F.when(candidate & F.rlike(text, F.lit(regex)), found).otherwise(none)
+
+
+def holds(low: Column, query: list[list[frozenset[str]]]) -> Column:
+    """Whether a lower-cased text is in the intersection of postings that the query asks for."""
+    out = F.lit(True)
+    for clause in query:
+        either = F.lit(False)
+        for grams in clause:
+            every = F.lit(True)
+            for g in sorted(grams):
+                every &= F.contains(low, F.lit(g))
+            either |= every
+        out &= either
+    return out
 
 
 def scan(docs: DataFrame, rules=RULES, base=BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_<kind> of the base kinds, base_sha256, spans (string), found (array of kind, start, end)."""
     queries = {kind: trigram_query(regex) for kind, regex, _ in rules}
-    indexed = {k: q for k, q in queries.items() if q}
-    grams = sorted({g for q in indexed.values() for clause in q for s in clause for g in s})
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row_key", F.xxhash64("doc_id", "text"))
-    if indexed:
-        rows = rows.join(candidates(postings(rows, grams), indexed), "row_key", "left")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    rows = rows.select("doc_id", "text", *(holds(F.col("low"), q).alias(f"may_{kind}") for kind, q in queries.items()))
     order = {k: i for i, (k, _, _) in enumerate(rules)}
 
     def spans_of(kind, regex, least):
-        found = _spans(F.col("text"), regex, least)
-        if kind in indexed:
-            found = F.when(F.array_contains("kinds", kind), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+        found = _spans(F.col("text"), regex, least, F.col(f"may_{kind}"))
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(order[kind]).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
     rows = rows.select("doc_id", F.array_sort(F.concat(*(spans_of(*r) for r in rules))).alias("all"))
