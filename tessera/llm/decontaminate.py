@@ -2,20 +2,26 @@
 
 Texts of documents and benchmark items become tokens: numbers, units after a number and names (capitalised words inside
 a sentence) turn into typed placeholders, the rest is lower-cased and loses its outer punctuation. Windows of WINDOW
-tokens with at least LITERAL literal ones are hashed and joined with those of the items. Matches of one document and
+tokens with at least LITERAL literal ones are hashed and hash-joined with those of the items. Matches of one document and
 item that lie on one diagonal (place in the document less place in the item) are an alignment; its slots are checked: a
 placeholder value of the item must stand for one value in the document throughout and the other way round, or the
-windows that disagree are dropped. If consistent windows of an alignment, or of alignments that follow one another in
-the item, cover SHARE of the item's windows, the document is contaminated: also by a question with other numbers.
+windows that disagree are dropped. If consistent windows of alignments within one stretch of the document cover SHARE of
+the item's windows, the document is contaminated: also by a question with other numbers. Each place of the document
+stands for one place of the item and the other way round, so a few repeated words don't cover an item that repeats them.
 
-The items' windows are broadcast only while they are at most BROADCAST_WINDOWS; beyond that the windows of documents and
-items meet in a shuffled join. An item of fewer tokens than a window is one window of all it has, and is found only
-where the same tokens stand in a document as a line of their own or at its end; items without literal tokens are left
-out.
+An item of fewer than WINDOW tokens is one window of all it has, and found as a line of its own (which begins a sentence).
+One of LITERAL tokens or more is found anywhere in a text as well; shorter ones may stand in any text by chance. Items without a window of enough
+literal tokens are left out.
+
+The items are a hash table on the executors while their words and bytes are at most BROADCAST_WINDOWS and
+BROADCAST_BYTES; beyond either, the windows of documents and items meet in a shuffled hash join. It only picks the pairs
+to look at, by a bound that each contaminated pair keeps, and Items.search() decides on them as it does for the table, so
+both ways give the same rows.
 
 Defined results: a null text has no tokens and is never contaminated; null and repeated doc_ids pass through, a row for
-each row; repeated items count once each; null item texts and ids are left out; other columns are ignored; an empty
-table of documents gives an empty result, one of items leaves all documents clean.
+each row; an item_id with several texts is found by each of them and counts once; null item texts and ids are left out;
+other columns are ignored; an empty table of documents gives an empty result, one of items leaves all documents clean;
+item_ids must be integers.
 """
 
 from __future__ import annotations
@@ -29,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mapped, pieces
+from ._common import integer_id, mapped, pieces, written
 
 WINDOW, LITERAL, SHARE = 5, 3, 0.8
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 4 << 20
 NUMBER, UNIT, NAME = "\x00n", "\x00u", "\x00p"
 UNITS = frozenset("mm cm m km in ft yd mi mile miles inch inches foot feet meter meters metre metres g kg mg lb lbs oz ton tons gram grams kilogram kilograms pound pounds s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years l ml liter liters litre litres gallon gallons km/h mph kmh % percent dollar dollars euro euros cent cents usd eur $ € £ °c °f degrees".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,]*(%|[a-zA-Z/°]{1,4})?$")
@@ -151,13 +157,12 @@ class Hashes(dict):
 _NUMBER_HASH, _UNIT_HASH, _NAME_HASH = (_U(token_hash(t)) for t in (NUMBER, UNIT, NAME))
 
 
-def windows(h: np.ndarray, literal: np.ndarray, item: bool = False) -> np.ndarray:
-    """Hash of each window, by its first place; 0 where too few of its tokens are literal."""
+def windows(h: np.ndarray, literal: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """Hash of each window of a width, by its first place; 0 where too few of its tokens are literal."""
     n = len(h)
-    if n < WINDOW and not (item and n):
+    if n < width:
         return np.zeros(0, _U)
-    width = min(WINDOW, n)
-    out = h[: n - width + 1].copy()
+    out = h[: n - width + 1] + _U(width)
     for j in range(1, width):
         out = (out ^ (out >> _U(32))) * _U(0x9E3779B97F4A7C15) + h[j : n - width + 1 + j]
     out = (out ^ (out >> _U(29))) * _U(0xBF58476D1CE4E5B9) | _U(1)
@@ -167,6 +172,16 @@ def windows(h: np.ndarray, literal: np.ndarray, item: bool = False) -> np.ndarra
     return out
 
 
+def lines_of(text: str, hashes: Hashes, widths: set[int]) -> np.ndarray:
+    """Hashes of the text's lines that have so few tokens."""
+    out = []
+    for line in {*text.split("\n"), text}:
+        found = hashes.tokens(line)
+        if len(found[0]) in widths:
+            out += windows(*found, len(found[0])).tolist()
+    return np.array(out, _U)
+
+
 def consistent(places: list[int], shift: int, item_values: list[str], doc_values: list[str]) -> list[int]:
     """Of the item places whose windows match at place + shift, those whose slots agree with one another."""
     there: dict[tuple[str, bool], str] = {}
@@ -187,37 +202,47 @@ def consistent(places: list[int], shift: int, item_values: list[str], doc_values
 
 
 def coverage(hits: list[tuple[int, int]], item_values: list[str], doc_values: list[str], total: int) -> float:
-    """Largest share of an item's windows found in one stretch of the document; hits: (place in document, in item)."""
+    """Largest share of an item's windows found in one stretch of the document of about twice its length; hits: (place in
+    document, in item). Of a stretch's alignments the longest come first; a place that one has taken is taken."""
     by_shift: dict[int, list[int]] = defaultdict(list)
     for d, p in hits:
         by_shift[d - p].append(p)
     runs = []
     for shift, places in by_shift.items():
         if ok := consistent(sorted(places), shift, item_values, doc_values):
-            runs.append((ok[0] + shift, ok[-1] + shift, set(ok)))
-    runs.sort(key=lambda r: r[:2])
+            runs.append((ok[0] + shift, -len(ok), shift, ok))
+    runs.sort(key=lambda r: r[:3])
     best, length = 0.0, len(item_values)
-    for i, (start, _, _) in enumerate(runs):
-        seen: set[int] = set()
-        for begin, _, places in runs[i:]:
-            if begin > start + 2 * length:
+    for i, (start, size, _, _) in enumerate(runs):
+        if -size == total:
+            return 1.0
+        near = []
+        for run in runs[i:]:
+            if run[0] > start + 2 * length:
                 break
-            seen |= places
-        best = max(best, len(seen) / total)
-        if best >= 1:
-            break
+            near.append(run)
+        if -sum(r[1] for r in near) / total <= best:
+            continue
+        used_d: set[int] = set()
+        used_p: set[int] = set()
+        for _, _, shift, places in sorted(near, key=lambda r: (r[1], r[0], r[2])):
+            free = [p for p in places if p not in used_p and p + shift not in used_d]
+            used_p.update(free)
+            used_d.update(p + shift for p in free)
+        best = max(best, len(used_p) / total)
     return best
 
 
 class Items:
-    """The items' tokens and an index of their windows."""
+    """The items' tokens and an index of their windows, by width."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        hashes, self.ids, self.values, self.total, self.short = Hashes(), [], [], [], {}
-        held: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        hashes, self.ids, self.values, self.total, self.lines = Hashes(), [], [], [], {}
+        held: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item_id, text in rows:
-            found, values = tokens(text, hashes.words)
-            w = windows(*hashes.tokens(text), item=True)
+            values = tokens(text, hashes.words)[1]
+            width = min(WINDOW, len(values))
+            w = windows(*hashes.tokens(text), width) if width else ()
             real = np.flatnonzero(w)
             if not len(real):
                 continue
@@ -225,46 +250,54 @@ class Items:
             self.ids.append(item_id)
             self.values.append(values)
             self.total.append(len(real))
-            if len(found) < WINDOW:
-                self.short.setdefault(tuple(found), []).append(k)
+            if width < WINDOW:
+                self.lines.setdefault(int(w[0]), []).append(k)
+            if width < LITERAL:
                 continue
             for p in real.tolist():
-                held[int(w[p])].append((k, p))
-        self.keys = np.array(sorted(held), _U)
-        self.postings = [held[int(h)] for h in self.keys]
-        self.n_windows = sum(map(len, self.postings))
+                held.setdefault(width, {}).setdefault(int(w[p]), []).append((k, p))
+        self.short = {len(self.values[k]) for ks in self.lines.values() for k in ks}
+        #: width to sorted hashes and their postings
+        self.index = {width: (keys := np.array(sorted(by), _U), [by[int(h)] for h in keys]) for width, by in held.items()}
 
     def search(self, text: str | None, hashes: Hashes) -> dict[int, float]:
-        """Item index to coverage, for items that share a window with the text."""
+        """Item index to coverage, for items that may reach SHARE; those with less are left out as a rule."""
         if not text or not self.ids:
             return {}
         out: dict[int, float] = {}
-        w = windows(*hashes.tokens(text))
-        if len(w) and len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, w), len(self.keys) - 1)
+        found = hashes.tokens(text)
+        values = None
+        for width, (keys, postings) in self.index.items():
+            w = windows(*found, width)
+            if not len(w):
+                continue
+            at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
             hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for d in np.flatnonzero(self.keys[at] == w).tolist():
-                for k, p in self.postings[at[d]]:
+            for d in np.flatnonzero(keys[at] == w).tolist():
+                for k, p in postings[at[d]]:
                     hits[k].append((d, p))
-            values = None
             for k, h in hits.items():
-                if len({p for _, p in h}) >= SHARE * self.total[k]:
+                need = SHARE * self.total[k]
+                if len({p for _, p in h}) >= need and len({d for d, _ in h}) >= need:
                     values = values or tokens(text, hashes.words)[1]
                     out[k] = coverage(h, self.values[k], values, self.total[k])
         if self.short:
-            for line in {*text.split("\n"), text}:
-                if len(line) < 400 and (got := tuple(tokens(line, hashes.words)[0])) in self.short:
-                    out |= dict.fromkeys(self.short[got], 1.0)
+            for h in lines_of(text, hashes, self.short).tolist():
+                out |= dict.fromkeys(self.lines.get(h, ()), 1.0)
         return out
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per row: doc_id, contaminated, kept (not contaminated), n_items, item_ids (sorted, comma-joined), coverage."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    index = item_index(items, item_id, item_text, broadcast_windows)
-    kind = docs.schema[id_col].dataType.simpleString()
+    real = item_rows(items, item_id, item_text)
+    index = item_index(real, broadcast_windows)
     if index is None:
-        return _joined(rows, items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null"))
+        hits = joined(rows, real).groupBy("t1", "t2").agg(F.array_sort(F.collect_set("item_id")).alias("found"), F.max("cover").alias("cover"))
+        t1, t2 = text_key("text")
+        out = rows.join(hits, (t1 == F.col("t1")) & (t2 == F.col("t2")), "left")
+        n = F.when(F.col("found").isNull(), 0).otherwise(F.size("found"))
+        return out.select("doc_id", (n > 0).alias("contaminated"), (n == 0).alias("kept"), n.cast("bigint").alias("n_items"), F.coalesce(F.array_join(F.col("found").cast("array<string>"), ","), F.lit("")).alias("item_ids"), F.coalesce("cover", F.lit(0.0)).alias("coverage"))
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -273,11 +306,15 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             for first, texts in pieces(batch, "text"):
                 out = []
                 for text in texts:
-                    got = {k: c for k, c in index.search(text, hashes).items() if c >= SHARE}
-                    out.append(_row({index.ids[k]: c for k, c in got.items()}))
+                    got: dict[int, float] = {}
+                    for k, c in index.search(text, hashes).items():
+                        if c >= SHARE:
+                            got[index.ids[k]] = max(c, got.get(index.ids[k], 0))
+                    out.append(_row(got))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, len(texts)), "contaminated": pa.array(cols[0]), "kept": pa.array(cols[1]), "n_items": pa.array(cols[2], pa.int64()), "item_ids": pa.array(cols[3]), "coverage": pa.array(cols[4], pa.float64())})
 
+    kind = docs.schema[id_col].dataType.simpleString()
     return mapped(rows, run, f"doc_id {kind}, contaminated boolean, kept boolean, n_items bigint, item_ids string, coverage double")
 
 
@@ -285,65 +322,87 @@ def _row(got: dict[int, float]) -> tuple:
     return bool(got), not got, len(got), ",".join(map(str, sorted(got))), max(got.values(), default=0.0)
 
 
-def item_index(items: DataFrame, item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> Items | None:
-    """The items' index if their windows are few enough to broadcast, checked before anything is collected."""
-    real = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull())
-    bound = real.agg(F.sum(F.size(F.split(item_text, r"\s+")))).first()[0] or 0  # words bound the windows, but for glued units
-    if bound > broadcast_windows:
+def item_rows(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item_id, text of the items, each different one once."""
+    real = items.select(integer_id(items, item_id).alias("item_id"), F.col(item_text).alias("text"))
+    return real.where("item_id is not null and text is not null").distinct()
+
+
+def item_index(items: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> Items | None:
+    """The items' index if they are few enough for a broadcast, checked before anything is collected."""
+    words, size = items.agg(F.sum(F.size(F.split("text", r"\s+"))), F.sum(F.octet_length("text"))).first()  # words bound the windows, but for glued units
+    if (words or 0) > broadcast_windows or (size or 0) > BROADCAST_BYTES:
         return None
-    return Items(sorted((r[0], r[1]) for r in real.select(F.col(item_id).cast("bigint"), item_text).collect()))
-
-
-def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """find() for items of any number: windows meet in a join, and each document and item are verified from their texts."""
-    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-
-    def of(id_col, item):
-        def run(batches):
-            hashes = Hashes()
-            for batch in batches:
-                for first, texts in pieces(batch, "text"):
-                    for key, text in zip(batch.column(id_col).slice(first, len(texts)).to_pylist(), texts):
-                        w = [windows(*hashes.tokens(text or ""), item)]
-                        if not item:  # short items are found as lines of their own
-                            w += [x for line in {*(text or "").split("\n"), text or ""} if len(line) < 400 and len(x := windows(*hashes.tokens(line), item=True)) == 1]
-                        w = np.unique(np.concatenate(w))
-                        w = w[w != 0]
-                        total = len(w)
-                        yield pa.RecordBatch.from_pydict({id_col: pa.array([key] * total, pa.int64()), "h": pa.array(w.view(np.int64)), "total": pa.array([total] * total, pa.int64())})
-
-        return run
-
-    doc_windows = mapped(rows.select("row_key", "text"), of("row_key", False), "row_key bigint, h bigint, total bigint").select("row_key", "h")
-    item_windows = mapped(items, of("item_id", True), "item_id bigint, h bigint, total bigint")
-    share = doc_windows.distinct().join(item_windows, "h").groupBy("row_key", "item_id").agg(F.count("*").alias("n"), F.first("total").alias("total"))
-    likely = share.where(F.col("n") >= SHARE * F.col("total")).select("row_key", "item_id")
-    texts = rows.dropDuplicates(["row_key"]).select("row_key", "text")
-    pairs = likely.join(items.groupBy("item_id").agg(F.first("text").alias("item")), "item_id").join(texts, "row_key").select("row_key", "item_id", "item", "text")
+    return Items(sorted((r[0], r[1]) for r in items.collect()))
+
+
+def text_key(column: str) -> tuple:
+    """128 bits that stand for a text."""
+    return F.xxhash64(column), F.xxhash64(F.lit(1), column)
+
+
+def joined(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(t1, t2, item_id, cover) of the contaminated texts, for items of any number; rows: text; items: item_id, text.
+
+    A hash join of windows finds the pairs that share windows of SHARE of an item's places, repeated ones counted as often
+    as the item has them; each pair is verified from its texts. Equal texts are worked once."""
+    keys = dict(zip(("t1", "t2"), text_key("text")))
+    held = written(items.select(*(c.alias(f"i{k[1]}") for k, c in keys.items()), "item_id", F.col("text").alias("item")), "items")
+
+    def item_windows(batches):
+        hashes = Hashes()
+        for batch in batches:
+            for first, texts in pieces(batch, "item"):
+                own = [batch.column(c).slice(first, len(texts)).to_pylist() for c in ("i1", "i2")]
+                for i1, i2, text in zip(*own, texts):
+                    found = hashes.tokens(text)
+                    width = min(WINDOW, len(found[0]))
+                    w = windows(*found, width) if width else np.zeros(0, _U)
+                    h, n = np.unique(w[w != 0], return_counts=True)
+                    m = len(h)
+                    yield pa.RecordBatch.from_pydict({"i1": pa.array([i1] * m, pa.int64()), "i2": pa.array([i2] * m, pa.int64()), "width": pa.array([width] * m, pa.int32()), "h": pa.array(h.view(np.int64)), "times": pa.array(n, pa.int64()), "total": pa.array([int(n.sum())] * m, pa.int64())})
+
+    wanted = written(mapped(held.select("i1", "i2", "item").dropDuplicates(["i1", "i2"]), item_windows, "i1 bigint, i2 bigint, width int, h bigint, times bigint, total bigint"), "windows")
+    widths = {r.width for r in wanted.select("width").distinct().collect()}  # WINDOW at most
+    long, short = {w for w in widths if w >= LITERAL}, {w for w in widths if w < WINDOW}
+    texts = rows.where("text is not null").select(*(c.alias(k) for k, c in keys.items()), "text")
+
+    def doc_windows(batches):
+        hashes = Hashes()
+        for batch in batches:
+            for first, part in pieces(batch, "text"):
+                own = [batch.column(c).slice(first, len(part)).to_pylist() for c in ("t1", "t2")]
+                for t1, t2, text in zip(*own, part):
+                    found = hashes.tokens(text)
+                    w = np.unique(np.concatenate([np.zeros(0, _U), *(windows(*found, n) for n in long), *([lines_of(text, hashes, short)] if short else [])]))
+                    w = w[w != 0]
+                    m = len(w)
+                    yield pa.RecordBatch.from_pydict({"t1": pa.array([t1] * m, pa.int64()), "t2": pa.array([t2] * m, pa.int64()), "h": pa.array(w.view(np.int64))})
+
+    met = mapped(texts, doc_windows, "t1 bigint, t2 bigint, h bigint").join(wanted.select("h", "i1", "i2", "times", "total"), "h")
+    # a text that stands in several rows gives each of its windows as often
+    share = met.groupBy("t1", "t2", "i1", "i2", "h").agg(F.first("times").alias("times"), F.first("total").alias("total")).groupBy("t1", "t2", "i1", "i2").agg(F.sum("times").alias("n"), F.first("total").alias("total"))
+    likely = share.where(F.col("n") >= SHARE * F.col("total")).select("t1", "t2", "i1", "i2")
+    pairs = likely.join(held, ["i1", "i2"]).join(texts.dropDuplicates(["t1", "t2"]), ["t1", "t2"])
 
     def verify(batches):
         hashes = Hashes()
         for batch in batches:
-            out = []
-            for key, item_id, item, text in zip(*(batch.column(c).to_pylist() for c in ("row_key", "item_id", "item", "text"))):
-                cover = max(Items([(item_id, item)]).search(text, hashes).values(), default=0.0)
-                if cover >= SHARE:
-                    out.append((key, item_id, cover))
-            a, b, c = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"row_key": pa.array(a, pa.int64()), "item_id": pa.array(b, pa.int64()), "cover": pa.array(c, pa.float64())})
+            cover = [max(Items([(0, item)]).search(text, hashes).values(), default=0.0) for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist())]
+            out = batch.select(["t1", "t2", "item_id"]).append_column("cover", pa.array(cover, pa.float64()))
+            yield out.filter(pa.array([c >= SHARE for c in cover], pa.bool_()))
 
-    hits = mapped(pairs, verify, "row_key bigint, item_id bigint, cover double").groupBy("row_key").agg(F.array_sort(F.collect_set("item_id")).alias("found"), F.max("cover").alias("cover"))
-    out = rows.join(hits, "row_key", "left")
-    n = F.when(F.col("found").isNull(), 0).otherwise(F.size("found"))
-    return out.select("doc_id", (n > 0).alias("contaminated"), (n == 0).alias("kept"), n.cast("bigint").alias("n_items"), F.coalesce(F.array_join(F.col("found").cast("array<string>"), ","), F.lit("")).alias("item_ids"), F.coalesce("cover", F.lit(0.0)).alias("coverage"))
+    return mapped(pairs.select("t1", "t2", "item_id", "item", "text"), verify, "t1 bigint, t2 bigint, item_id bigint, cover double")
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    index = item_index(items)
+    real = item_rows(items)
+    index = item_index(real, broadcast_windows)
     if index is None:
-        hit = find(docs.select(F.xxhash64(*docs.columns).alias("row_key_"), F.col(text_col).alias("text")), items, id_col="row_key_").where("contaminated").select("row_key_").distinct()
-        return docs.withColumn("row_key_", F.xxhash64(*docs.columns)).join(hit, "row_key_", "left_anti").select(*docs.columns)
+        t1, t2 = text_key(text_col)
+        hit = joined(docs.select(F.col(text_col).alias("text")), real).select("t1", "t2").distinct()
+        return docs.join(hit, (t1 == hit.t1) & (t2 == hit.t2), "left_anti")
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
