@@ -2,11 +2,23 @@
 
 Pass one makes the references: for each language with a list of common words here, the mean histogram of character
 classes and of common words over all documents of that `lang` that pass the base rules and are long enough. It is summed
-in whole millionths, so the sums don't depend on the order of tasks; what reaches the driver is a vector for each of at
-most four languages. Pass two compares each document with the nearest reference by the Jensen-Shannon distance (base 2,
-0 to 1). The nearest reference counts, not the one of the document's own lang, as labels err. Documents under MIN_CHARS
-or MIN_WORDS aren't compared, nor are those whose lang is null or has no reference, as it has no list or fewer than
-MIN_DOCS documents: other languages say nothing about them.
+in whole millionths, so the sums don't depend on the order of tasks. Three statistics compare a document with the nearest
+reference: the Jensen-Shannon distances (base 2, 0 to 1) of its character classes, and of its common words among
+themselves, and the share of its words that are common ones. The nearest reference counts, not the one of the document's
+own lang, as labels err.
+
+Pass two takes their limits from the references' own documents: for each language and class of length (short texts differ
+more by chance), median plus or minus SPREADS robust standard deviations (1.4826 times the median absolute deviation), of
+all documents that pass the base rules. Up to half of them may be junk without moving the limits far, and no limit is
+fitted to a corpus by hand. What reaches the driver is a vector for each of at most four languages, and at most BINS
+counts for each statistic, language and class of length. Pass three is the verdict.
+
+Classes of characters know scripts: Latin letters have classes of their own, other letters are one, so a Cyrillic text is
+far from every reference here. Documents under MIN_CHARS or MIN_WORDS aren't compared, nor are those whose lang is null
+or has no reference, as it has no list or fewer than MIN_DOCS documents: other languages say nothing about them. A class of
+length with fewer than MIN_DOCS documents goes by the limits of the next shorter one that has more, without any it isn't
+compared. Fewer than MIN_COMMON common words are no distribution: such a text is judged by its share and characters,
+against the reference of its own lang.
 
 Defined results: a null text has no words and fails the base rules; null and repeated doc_ids pass through, a row for
 each row; other columns are ignored; an empty table gives an empty result.
@@ -31,12 +43,15 @@ COMMON = {
     "es": "el la los las de del y que en un una por con no se su para es al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me",
 }
 SYMBOLS = "#*$%&|<>"
-MIN_CHARS, MIN_WORDS, MIN_DOCS = 200, 50, 20
-#: Largest distances that are kept.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.42
+MIN_CHARS, MIN_WORDS, MIN_DOCS, MIN_COMMON = 200, 50, 20, 10
+#: Robust standard deviations from the median that are kept, and the least that each statistic's is taken for: prose is
+#: so even in its characters that a number or two would count as far off.
+SPREADS, LEAST = 5, (0.03, 0.01, 0.01)
+BINS = 2000
 CLASSES = ("lower", "upper", "digit", "space", "line", "stop", "punctuation", "symbol", "letter", "other")
 _STRIP = b".,;:!?\"'()[]"
 _UNIT = 1_000_000
+_LONGEST = 5
 
 
 @lru_cache(1)
@@ -50,27 +65,37 @@ def class_table() -> np.ndarray:
     out = np.full(0x3001, 8, np.uint8)
     for c in range(0x3000):
         x, kind = chr(c), unicodedata.category(chr(c))
-        out[c] = 0 if "a" <= x <= "z" else 1 if "A" <= x <= "Z" else 2 if kind[0] == "N" else 4 if x in "\t\n\x0b\x0c\r" else 3 if kind[0] == "Z" else 5 if x in ".,;:!?" else 6 if x in "'\"()-[]" else 7 if kind[0] in "PS" else (0 if kind == "Ll" else 1 if kind == "Lu" else 8) if kind[0] in "LM" else 9
+        latin = "LATIN" in unicodedata.name(x, "")
+        out[c] = 2 if kind[0] == "N" else 4 if x in "\t\n\x0b\x0c\r" else 3 if kind[0] == "Z" else 5 if x in ".,;:!?" else 6 if x in "'\"()-[]" else 7 if kind[0] in "PS" else (0 if latin and kind != "Lu" else 1 if latin else 8) if kind[0] in "LM" else 9
     return out
 
 
-def histograms(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the character classes, and of the common words and all others."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    chars = np.bincount(class_table()[np.minimum(points, 0x3000)], minlength=len(CLASSES)).astype(float)
+def length_class(n_words: int) -> int:
+    return min(_LONGEST, (n_words // MIN_WORDS).bit_length() - 1)
+
+
+def histograms(texts: list[str], words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, the shares of the character classes, and the counts of the common words."""
+    sizes = [len(t) for t in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    row = np.repeat(np.arange(len(texts)) * len(CLASSES), sizes)
+    chars = np.bincount(row + class_table()[np.minimum(points, 0x3000)], minlength=len(texts) * len(CLASSES)).reshape(-1, len(CLASSES)).astype(float)
     table = common_words()
     n = len(table)
-    get = table.get
-    common = np.bincount([get(w.strip(_STRIP).lower(), n) for w in words], minlength=n + 1).astype(float)
-    return chars / max(1, len(points)), common / max(1, len(words))
+    get, out = table.get, np.zeros((len(texts), n))
+    for i, ws in enumerate(words):
+        out[i] = np.bincount([get(w.strip(_STRIP).lower(), n) for w in ws], minlength=n + 1)[:n]
+    return chars / np.maximum(1, chars.sum(1, keepdims=True)), out
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> float:
+def js_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Between each row of p and each of q."""
+    p, q = p[:, None, :], q[None]
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        a = np.where(p > 0, p * np.log2(p / m), 0).sum()
-        b = np.where(q > 0, q * np.log2(q / m), 0).sum()
-    return float(np.sqrt(max(0.0, (a + b) / 2)))
+        a = np.where(p > 0, p * np.log2(p / m), 0).sum(-1)
+        b = np.where(q > 0, q * np.log2(q / m), 0).sum(-1)
+    return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -114,70 +139,155 @@ def base(text: str | None, words: list[bytes]) -> tuple[int, int, int, int, int,
     return n, len(text) - sum(map(text.count, BLANKS)), sum(map(text.count, SYMBOLS)), dup, repeat, n < 50 or 100 * repeat > 50 * n
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Language to mean histograms, from all documents that pass the base rules."""
+class References:
+    """Languages and their mean histograms, and the limits of each language and class of length."""
+
+    def __init__(self, means: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(means)
+        self.chars, self.common = (np.array([means[x][i] for x in self.langs]) for i in (0, 1)) if means else (None, None)
+        #: (language, class of length) to the largest distances and the least share
+        self.limits: dict[tuple[str, int], tuple[float, float, float]] = {}
+
+    def statistics(self, texts: list[str], words: list[list[bytes]], langs: list[str]) -> list[tuple[str, int, float, float | None, float]]:
+        """(language, class of length, character distance, word distance or None, share) of each text. The language is the
+        nearest by common words, or the text's own where it has too few of them."""
+        out = []
+        for at in range(0, len(texts), 256):
+            part, own = texts[at : at + 256], words[at : at + 256]
+            chars, common = histograms(part, own)
+            total = common.sum(1)
+            char = np.round(js_distances(chars, self.chars), 9)
+            word = np.round(js_distances(common / np.maximum(1, total)[:, None], self.common), 9)
+            for i, ws in enumerate(own):
+                enough = total[i] >= MIN_COMMON
+                k = int(word[i].argmin()) if enough else self.langs.index(langs[at + i])
+                out.append((self.langs[k], length_class(len(ws)), float(char[i, k]), float(word[i, k]) if enough else None, round(float(total[i]) / len(ws), 9)))
+        return out
+
+    def limits_of(self, lang: str, size: int) -> tuple[float, float, float] | None:
+        """Those of the class of length, or of the next shorter one that has any, which are wider."""
+        return next((self.limits[lang, k] for k in range(size, -1, -1) if (lang, k) in self.limits), None)
+
+    @staticmethod
+    def within(limits: tuple[float, float, float], char: float, word: float | None, share: float) -> bool:
+        most_char, most_word, least_share = limits
+        return char <= most_char and (word is None or word <= most_word) and share >= least_share
+
+
+def comparable(texts: list[str | None], words: list[list[bytes]], langs: list[str | None], known) -> list[int]:
+    """Places of the texts that are long enough and of a known language."""
+    return [i for i, (t, ws, lang) in enumerate(zip(texts, words, langs)) if lang in known and len(ws) >= MIN_WORDS and len(t) >= MIN_CHARS]
+
+
+def split(texts: list[str | None]) -> list[list[bytes]]:
+    return [t.encode().split() if t else [] for t in texts]
+
+
+def means(rows: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Language to mean histograms, from all documents that pass the base rules; rows: text, lang."""
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, texts in pieces(batch, "text"):
-                for lang, text in zip(langs[first : first + len(texts)], texts):
-                    if lang not in COMMON or not text or len(text) < MIN_CHARS:
-                        continue
-                    words = text.encode().split()
-                    if len(words) < MIN_WORDS or 200 * repeated_words(words) > 100 * len(words):
-                        continue
-                    found = np.concatenate(histograms(text, words)) * _UNIT
-                    if lang not in sums:
-                        sums[lang] = np.zeros(len(found) + 1, np.int64)
-                    sums[lang] += np.append(np.rint(found).astype(np.int64), 1)
+                words, own = split(texts), langs[first : first + len(texts)]
+                at = [i for i in comparable(texts, words, own, COMMON) if 100 * repeated_words(words[i]) <= 50 * len(words[i])]
+                chars, common = histograms([texts[i] for i in at], [words[i] for i in at])
+                for i, c, w in zip(at, chars, common):
+                    found = np.concatenate([c, w / len(words[i])]) * _UNIT
+                    if own[i] not in sums:
+                        sums[own[i]] = np.zeros(len(found) + 1, np.int64)
+                    sums[own[i]] += np.append(np.rint(found).astype(np.int64), 1)
         for lang, v in sums.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(v)), "pos": pa.array(range(len(v)), pa.int32()), "total": pa.array(v)})
 
     found: dict[str, dict[int, int]] = {}
-    parts = mapped(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, "lang string, pos int, total bigint")
-    for r in parts.groupBy("lang", "pos").agg(F.sum("total").alias("total")).collect():  # at most 4 languages of fixed width
+    for r in mapped(rows, run, "lang string, pos int, total bigint").groupBy("lang", "pos").agg(F.sum("total").alias("total")).collect():  # at most 4 languages of fixed width
         found.setdefault(r.lang, {})[r.pos] = r.total
     out = {}
-    for lang, v in sorted(found.items()):
+    for lang, v in found.items():
         *mean, n = (v[i] for i in range(len(v)))
-        if n >= MIN_DOCS:
-            mean = np.array(mean, float)
-            chars, common = mean[: len(CLASSES)], mean[len(CLASSES) :]
+        chars, common = np.array(mean[: len(CLASSES)], float), np.array(mean[len(CLASSES) :], float)
+        if n >= MIN_DOCS and common.sum():
             out[lang] = chars / chars.sum(), common / common.sum()
     return out
 
 
+def limit(counts: dict[int, int], side: int, least: float) -> float:
+    """Median plus (side 1) or minus (-1) SPREADS robust deviations, of `least` or more; counts: bin to number."""
+    bins = np.array(sorted(counts))
+    n = np.array([counts[b] for b in bins])
+
+    def median(values: np.ndarray) -> float:
+        order = np.argsort(values, kind="stable")
+        return float(values[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
+
+    values = bins / BINS
+    middle = median(values)
+    return middle + side * SPREADS * max(least, 1.4826 * median(np.abs(values - middle)))
+
+
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
+    """Means and limits from all documents that pass the base rules."""
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    refs = References(means(rows))
+    if not refs.langs:
+        return refs
+
+    def run(batches):
+        counts: dict[tuple[str, int, int, int], int] = {}
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for first, texts in pieces(batch, "text"):
+                words, own = split(texts), langs[first : first + len(texts)]
+                at = [i for i in comparable(texts, words, own, refs.langs) if 100 * repeated_words(words[i]) <= 50 * len(words[i])]
+                for lang, size, *values in refs.statistics([texts[i] for i in at], [words[i] for i in at], [own[i] for i in at]):
+                    for k, v in enumerate(values):
+                        if v is not None:
+                            key = lang, size, k, round(v * BINS)
+                            counts[key] = counts.get(key, 0) + 1
+        cols = list(zip(*((*k, n) for k, n in counts.items()))) or [()] * 5
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(("lang", "size", "kind", "bin", "n"), cols, (pa.string(), *[pa.int32()] * 3, pa.int64()))})
+
+    held: dict[tuple[str, int], list[dict[int, int]]] = {}
+    for r in mapped(rows, run, "lang string, size int, kind int, bin int, n bigint").groupBy("lang", "size", "kind", "bin").agg(F.sum("n").alias("n")).collect():  # 4 languages, 6 lengths, 3 statistics, BINS + 1 at most
+        held.setdefault((r.lang, r["size"]), [{}, {}, {}])[r.kind][r.bin] = r.n
+    for key, (char, word, share) in held.items():
+        if sum(char.values()) >= MIN_DOCS:
+            refs.limits[key] = limit(char, 1, LEAST[0]), limit(word, 1, LEAST[1]) if word else 1.0, limit(share, -1, LEAST[2])
+    return refs
+
+
+def verdicts(refs: References, texts: list[str | None], words: list[list[bytes]], own: list[str | None]) -> list[tuple]:
+    """(ref_lang, char_distance, word_distance, common_share, ok) of each text; nulls where nothing is compared."""
+    out: list[tuple] = [(None, None, None, None, True)] * len(texts)
+    at = comparable(texts, words, own, refs.langs)
+    for i, (lang, size, char, word, share) in zip(at, refs.statistics([texts[i] for i in at], [words[i] for i in at], [own[i] for i in at])):
+        if limits := refs.limits_of(lang, size):
+            out[i] = lang, char, word, share, refs.within(limits, char, word, share)
+    return out
+
+
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and ref_lang,
-    char_distance and word_distance (null where nothing is compared)."""
+    char_distance, word_distance and common_share (null where nothing is compared)."""
     refs = references(docs, text_col, lang_col)
-
-    def verdict(text, words, lang):
-        if lang not in refs or len(text) < MIN_CHARS or len(words) < MIN_WORDS:
-            return None, None, None, True
-        chars, common = histograms(text, words)
-        word, lang = min((js_distance(common, r[1]), lang) for lang, r in refs.items())
-        char = js_distance(chars, refs[lang][0])
-        return lang, round(char, 9), round(word, 9), char <= MAX_CHAR_DISTANCE and word <= MAX_WORD_DISTANCE
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ref_lang", "char_distance", "word_distance", "common_share"]
 
     def run(batches):
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for first, texts in pieces(batch, "text"):
-                rows = []
-                for text, own in zip(texts, langs[first : first + len(texts)]):
-                    words = text.encode().split() if text else []
-                    counts = base(text, words)
-                    lang, char, word, ok = verdict(text, words, own) if text else (None, None, None, True)
-                    rows.append((*counts, ok and not counts[-1], lang, char, word))
+                words, rows = split(texts), []
+                for text, own, found in zip(texts, words, verdicts(refs, texts, words, langs[first : first + len(texts)])):
+                    counts = base(text, own)
+                    rows.append((*counts, found[-1] and not counts[-1], *found[:-1]))
                 cols = list(zip(*rows))
-                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string(), pa.float64(), pa.float64()]
+                kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ref_lang", "char_distance", "word_distance"]
-    kinds = [docs.schema[id_col].dataType.simpleString()] + ["bigint"] * 5 + ["boolean"] * 2 + ["string", "double", "double"]
+    kinds = [docs.schema[id_col].dataType.simpleString()] + ["bigint"] * 5 + ["boolean"] * 2 + ["string"] + ["double"] * 3
     schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
     return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), run, schema)
 
@@ -191,14 +301,9 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             keep = []
             langs = batch.column(lang_col).to_pylist()
             for first, texts in pieces(batch, text_col):
-                for text, own in zip(texts, langs[first : first + len(texts)]):
-                    words = text.encode().split() if text else []
-                    ok = not base(text, words)[-1]
-                    if ok and own in refs and len(text) >= MIN_CHARS:
-                        chars, common = histograms(text, words)
-                        word, lang = min((js_distance(common, r[1]), lang) for lang, r in refs.items())
-                        ok = word <= MAX_WORD_DISTANCE and js_distance(chars, refs[lang][0]) <= MAX_CHAR_DISTANCE
-                    keep.append(ok)
+                words = split(texts)
+                found = verdicts(refs, texts, words, langs[first : first + len(texts)])
+                keep += [v[-1] and not base(t, ws)[-1] for t, ws, v in zip(texts, words, found)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return mapped(docs, run, docs.schema)

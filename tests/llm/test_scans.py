@@ -54,14 +54,6 @@ def test_quality(spark, corpus):
     assert quality.assess(df.limit(0)).count() == quality.keep_good(df.limit(0)).count() == 0
 
 
-def test_js_distance():
-    import numpy as np
-
-    p, q = np.array([0.5, 0.5, 0]), np.array([0, 0.5, 0.5])
-    assert quality.js_distance(p, p) == 0 and abs(quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) - 1) < 1e-9
-    assert quality.js_distance(p, q) == quality.js_distance(q, p)
-
-
 def test_languages(spark, corpus):
     got = language_id.identify(frame(spark, corpus), sample=60).collect()
     lang = {i: x for i, _, x in corpus}
