@@ -3,8 +3,8 @@
 Lines (parted by \\n) of at least MIN_TOKENS tokens go down a tree: first by their number of tokens, then by their LEADING
 first tokens, where a token with a digit counts as a variable field. At a leaf all lines meet token by token: where they
 differ there is a variable field. If LITERAL of the meeting's tokens are left, the leaf is one template, whatever stands
-in its fields. The meeting is associative and idempotent, so tasks meet what they have first and a leaf gets one row of
-each task at most.
+in its fields. The meeting is associative and idempotent, so tasks meet what they have first, and what a leaf gets of all
+tasks is met in a tree of FAN branches, so no row gathers more than a small part of them.
 
 A leaf whose meeting keeps too little is split: there each two lines that meet with LITERAL of their tokens left are of
 one template, whatever else the leaf holds, and a line's template holds the line, its equals (digits aside) and all lines
@@ -22,11 +22,13 @@ tokens and characters.
 What is shuffled: a fixed-size row for each line, the met templates of leaves that hold different lines, the different
 lines of split leaves with a hash for each token and part, and once the texts with the lists of their dropped lines. Which leaves hold different lines is told to the tasks by a bitmap over
 hashes of leaves, of a fixed size whatever the input; leaves that share a place with such a leaf
-only cost some shuffling. Only a document's own lines are ever gathered in one row.
+only cost some shuffling. Only a document's own lines are ever gathered in one row. The recurring templates are written
+before lines are joined with them, so both sides are plain exchanges, which Spark splits where a template is frequent.
 
 Defined results: a null text stays null, an empty one empty; null doc_ids count as documents of their own that come
 first; rows that repeat id and text are one document for the counts and get the same result each; the columns of docs
-stay as they are but for the text; an empty table gives an empty result.
+stay as they are but for the text, and those that are named like the counts, which give way to these; an empty table
+gives an empty result; doc_ids must be integers.
 """
 
 from __future__ import annotations
@@ -40,12 +42,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap, mapped, may_hold, pieces, written
+from ._common import bitmap, integer_id, mapped, may_hold, pieces, removed, written
 
 MIN_TOKENS, LEADING, LITERAL = 6, 3, 0.75
 #: Least length of a line of fewer tokens.
 MIN_CHARS = 20
 FIELD = "<*>"
+FAN = 1024
 _DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
 _HELD = 100_000
@@ -59,11 +62,11 @@ def template(line: str) -> tuple[int, list[str]]:
     return _signed(f"{len(tokens)} {' '.join(tokens[:LEADING])}"), tokens
 
 
-def exact(line: str) -> tuple[int, list[str]]:
+def exact(line: str, min_chars: int = MIN_CHARS) -> tuple[int, list[str]]:
     """Leaf of its own and tokens of a line of few tokens; no tokens if it is too short in characters too."""
-    tokens = line.split() if len(line) >= MIN_CHARS else []
+    tokens = line.split() if len(line) >= min_chars else []
     joined = " ".join(tokens)
-    return (_signed(f"exact {joined}"), tokens) if len(joined) >= MIN_CHARS else (0, [])
+    return (_signed(f"exact {joined}"), tokens) if len(joined) >= max(1, min_chars) else (0, [])
 
 
 def _signed(text: str) -> int:
@@ -107,15 +110,18 @@ def leaf_templates(texts: DataFrame, mixed: bytes) -> DataFrame:
                     yield flush()
         yield flush()
 
-    parts = mapped(texts, run, "leaf bigint, template string").groupBy("leaf").agg(F.collect_set("template").alias("all"))
-    tokens = F.transform("all", lambda t: F.split(t, " "))
-    whole = F.aggregate(tokens, tokens[0], lambda acc, t: F.zip_with(acc, t, lambda a, b: F.when(a == b, a).otherwise(F.lit(FIELD))))
-    found = parts.select("leaf", F.when(F.size("all") == 1, tokens[0]).otherwise(whole).alias("t")).where(F.array_contains("t", FIELD))
+    found = mapped(texts, run, "leaf bigint, template string")
+    for k in (F.pmod(F.xxhash64("template"), F.lit(FAN)), F.lit(0)):
+        parts = found.groupBy("leaf", k.alias("branch")).agg(F.collect_set("template").alias("all"))
+        tokens = F.transform("all", lambda t: F.split(t, " "))
+        whole = F.aggregate(tokens, tokens[0], lambda acc, t: F.zip_with(acc, t, lambda a, b: F.when(a == b, a).otherwise(F.lit(FIELD))))
+        found = parts.select("leaf", F.when(F.size("all") == 1, F.element_at("all", 1)).otherwise(F.array_join(whole, " ")).alias("template"))
+    found = found.select("leaf", F.split("template", " ").alias("t")).where(F.array_contains("t", FIELD))
     literal = F.size(F.filter("t", lambda x: x != FIELD))
     return found.where(literal >= F.ceil(LITERAL * F.size("t"))).select("leaf", F.array_join("t", " ").alias("template"))
 
 
-def line_table(rows: DataFrame) -> DataFrame:
+def line_table(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(k1, k2, line, leaf, own) for each line that is long enough; rows: k1, k2, text."""
 
     def run(batches):
@@ -127,7 +133,7 @@ def line_table(rows: DataFrame) -> DataFrame:
                     for n, line in enumerate((text or "").split("\n")):
                         leaf, tokens = template(line)
                         if not tokens:
-                            leaf, tokens = exact(line)
+                            leaf, tokens = exact(line, min_chars)
                         if tokens:
                             out.append((a, b, n, leaf, _own(tokens)))
                 cols = list(zip(*out)) or [()] * 5
@@ -199,14 +205,15 @@ def met_lines(found: DataFrame, templates: DataFrame) -> DataFrame:
     return links.union(links.select("b", "a"))
 
 
-def _dropped(rows: DataFrame) -> DataFrame:
+def _dropped(rows: DataFrame, min_chars: int) -> DataFrame:
     """(k1, k2, n_recurring, drop): of each document with lines of recurring templates, the lines that go."""
-    lines = written(line_table(rows), "lines")
-    mixed = written(mixed_leaves(lines), "mixed")
+    table = written(line_table(rows, min_chars), "lines")
+    mixed = written(mixed_leaves(table), "mixed")
     leaves = written(leaf_templates(rows.select("text"), bitmap(mixed)).select("leaf", F.lit(True).alias("one")), "leaves")
     split = bitmap(mixed.join(leaves, "leaf", "left_anti"))
-    lines = lines.join(leaves, "leaf", "left")
+    lines = table.join(leaves, "leaf", "left")
     lines = written(lines.select("k1", "k2", "line", F.when(F.col("one"), F.unhex(F.md5(F.col("leaf").cast("string").cast("binary")))).otherwise(F.col("own")).alias("template")), "templates")
+    removed(table, mixed, leaves)
     place = F.struct("k1", "k2", "line")
     templates = lines.groupBy("template").agg(F.min(place).alias("first"), F.max(F.struct("k1", "k2")).alias("last"))
     if any(split):
@@ -214,28 +221,28 @@ def _dropped(rows: DataFrame) -> DataFrame:
         links = met_lines(written(split_lines(rows.select("text"), split), "split"), templates)
         met = links.join(templates.withColumnRenamed("template", "b"), "b").select(F.col("a").alias("template"), "first", "last")
         templates = templates.union(met).groupBy("template").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    recurring = templates.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("template", "first")
+    recurring = written(templates.where((F.col("first.k1") != F.col("last.k1")) | (F.col("first.k2") != F.col("last.k2"))).select("template", "first"), "recurring")
     found = lines.join(recurring, "template")
     later = F.when(F.col("first") != place, F.col("line"))
     return found.groupBy("k1", "k2").agg(F.count("*").alias("n_recurring"), F.collect_set(later).alias("drop"))  # a document's own lines
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text less its dropped lines, and the columns line_dedup_n_lines, line_dedup_n_recurring and
-    line_dedup_n_dropped."""
-    key = {"k1": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))), "k2": F.xxhash64(id_col, text_col)}
-    drop = _dropped(docs.select(*(c.alias(k) for k, c in key.items()), F.col(text_col).alias("text"))).withColumnsRenamed({k: f"line_dedup_{k}" for k in ("k1", "k2", "n_recurring", "drop")})
-    all_rows = docs.withColumns({f"line_dedup_{k}": c for k, c in key.items()}).join(drop, ["line_dedup_k1", "line_dedup_k2"], "left")
-    lines = F.split(text_col, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("line_dedup_drop"))
-    text = F.when(F.size("line_dedup_drop") > 0, F.array_join(F.transform(F.array(lines), lambda all_lines: F.transform(left, lambda i: all_lines[i]))[0], "\n")).otherwise(F.col(text_col))
-    out = all_rows.withColumns(
-        {
-            "line_dedup_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
-            "line_dedup_n_recurring": F.coalesce("line_dedup_n_recurring", F.lit(0)).cast("bigint"),
-            "line_dedup_n_dropped": F.when(F.col("line_dedup_drop").isNull(), 0).otherwise(F.size("line_dedup_drop")).cast("bigint"),
-            "line_dedup_text": text,
-        }
-    )
-    names = [F.col("line_dedup_text").alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*names, "line_dedup_n_lines", "line_dedup_n_recurring", "line_dedup_n_dropped")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, prefix: str = "line_dedup") -> DataFrame:
+    """docs with the text less its dropped lines, and the columns <prefix>_n_lines, _n_recurring and _n_dropped.
+    min_chars: least length of a line of fewer than MIN_TOKENS tokens."""
+    counts = [f"{prefix}_{c}" for c in ("n_lines", "n_recurring", "n_dropped")]
+    text = docs[text_col]
+    key = F.coalesce(integer_id(docs, id_col), F.lit(-(1 << 63))), F.xxhash64(docs[id_col], text)
+    drop = _dropped(docs.select(key[0].alias("k1"), key[1].alias("k2"), text.alias("text")), min_chars)
+    kept = [c for c in docs.columns if c not in counts]
+    all_rows = docs.join(drop, (key[0] == drop.k1) & (key[1] == drop.k2), "left")
+    lines = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop["drop"])
+    shorter = F.array_join(F.transform(F.array(lines), lambda all_lines: F.transform(left, lambda i: all_lines[i]))[0], "\n")
+    columns = {c: F.when(F.size(drop["drop"]) > 0, shorter).otherwise(text) if c == text_col else docs[c] for c in kept}
+    columns |= {
+        counts[0]: F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint"),
+        counts[1]: F.coalesce(drop.n_recurring, F.lit(0)).cast("bigint"),
+        counts[2]: F.when(drop["drop"].isNull(), 0).otherwise(F.size(drop["drop"])).cast("bigint"),
+    }
+    return all_rows.select(*(v.alias(k) for k, v in columns.items()))
