@@ -32,7 +32,7 @@ def integer_id(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
     if not isinstance(kind, IntegralType):
         raise TypeError(f"{column} must hold integers, not {kind.simpleString()}")
-    return F.col(column).cast("bigint")
+    return df[column].cast("bigint")
 
 
 #: Frees the shuffle files of a written table at once; they aren't needed again, as it is read from its files.

@@ -1,47 +1,55 @@
 """Near-duplicates by bottom-k sketches of one hash function.
 
 Texts are lower-cased (A-Z) and cut into words; a document's set is its distinct word shingles, as 64-bit hashes, and
-its sketch the SKETCH lowest of them. Documents with the same set are one class; classes are what is compared.
-
-1. Inverted lists. Values that only one class retains are dropped. Of its values a class is listed under the rarest only:
-   two sets that are similar enough share so many retained values that they meet in one of these (for sets that fit
-   their sketch this is exact; for larger ones a link at the very threshold is missed with a chance under 1e-8). Lists
-   are kept by bands of set size, as similar sets have similar sizes. Classes that meet another one get their full sets,
-   and are listed in the same way under the rarest shingles of these, now exactly.
-2. A list of at most SMALL classes (LATER, once leaders have been tried) gives its pairs. A longer one gives each class with the list's leader only: the one
-   with the fewest shingles of its own, which in a group of copies is what the others were made from. So candidates
-   grow with the rows of the lists and not with their squares. Of lists with the same classes one is kept.
-3. Each candidate pair is estimated from the union of the sketches, and verified on the full sets.
-4. What the leader l leaves open: classes x and y of its list may be linked though y isn't linked to l. Sets differ by
-   D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing outside l,
-   D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as D(l, y) > b(|l|+|y|), that is no link unless
-   |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l part a list into lists, again only
-   as many of each class as a link needs, and one more list holds the smaller sets and the few y so near to l. Only
-   lists with a class that isn't linked to l go on. This repeats until none is left; a list never holds the leader of
-   the one it comes from, and copies of one text fall apart by their own changes.
+its sketch the SKETCH lowest of them, which it retains. Documents with the same set are one class; classes are compared.
+
+1. Inverted lists of retained values. Values that only one class retains are dropped. Two sets that are similar enough
+   share at least shared_least() retained values (exact for sets that fit their sketch; for larger ones half a sketch,
+   which a link at the very threshold misses with a chance under 1e-8), so each class is listed under the rarest of its
+   values only, all but that many less one, and similar ones still meet. Lists are kept by bands of set size, as similar
+   sets have similar sizes; of lists with the same classes one is kept.
+2. A list of at most SMALL classes gives its pairs. A longer one gives each class with the list's leader only: the one
+   with the fewest values of its own, which in a group of copies is what the others were made from. So candidates grow
+   with the rows of the lists and not with their squares.
+3. Every candidate pair, a leader's too, has its overlap of retained values counted, and the similarity estimated from the
+   sketch of the union: it goes on only from an estimate of a half, or an overlap as large as a link needs.
+4. Pairs that go on are verified by the exact Jaccard similarity of their full sets.
+5. What the leader l leaves open: classes x and y of its list may be linked though y isn't linked to l.
+   If y was let go by the sketches, x and y share retained values outside the sketch of l, since y shares too few with l:
+   those values part the list into lists, as many of each class as needed.
+   Else both were verified. Sets differ by D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with
+   b = (1-t)/(1+t). If x and y share nothing outside l, D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as
+   D(l, y) > b(|l|+|y|), that is no link unless |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles
+   outside l part the list into lists too, and one more list holds the smaller sets and the few y so near to l.
+   Only lists with a class that isn't linked to l go on. This repeats until none is left; a list never holds the leader
+   of the one it comes from, and copies of one text fall apart by their own changes.
 
 Links go through label propagation with pointer jumping, in tables; nothing about documents reaches the driver but the
-numbers of rows left. Every table that is used again is written to the shared folder.
+numbers of rows left. Every table that is used again is written to the shared folder, and deleted once all that reads it
+is written. What is aggregated by a key and joined back is written first, so that both sides of the join are plain
+exchanges, which Spark splits where a key is hot.
 
 Defined results: null, empty and blank texts have no shingles, are linked with nothing and kept; a row with a null
 doc_id gets a null component and is kept, linked with nothing; rows that repeat get a result each; rows of one doc_id
-with different texts go by their texts, and classes with the same smallest doc_id are one; other columns are ignored;
-an empty table gives an empty result.
+with different texts go by their texts; other columns are ignored; an empty table gives an empty result; doc_ids must be
+integers.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap, mapped, may_hold, pieces, written
+from ._common import bitmap, integer_id, mapped, may_hold, pieces, removed, written
 
 SKETCH = 64
-#: Most classes of a list that gives all its pairs: at first, and of the lists that leaders leave.
-SMALL, LATER = 8, 512
+#: Most classes of a list that gives all its pairs.
+SMALL = 16
 _U = np.uint64
 
 
@@ -74,7 +82,7 @@ def shingle_sets(texts: list[str | None], width: int, hashes: WordHashes) -> lis
 
 
 def features(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, sig (a hash of the whole set; null without shingles), band, sketch."""
+    """doc_id, t1, t2 (a hash of the text), n_shingles, sig (a hash of the whole set; null without shingles), sketch."""
 
     def run(batches):
         hashes = WordHashes()
@@ -83,71 +91,122 @@ def features(docs: DataFrame, width: int) -> DataFrame:
                 sets = shingle_sets(texts, width, hashes)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch.column("doc_id").slice(first, len(texts)),
+                        **{c: batch.column(c).slice(first, len(texts)) for c in ("doc_id", "t1", "t2")},
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "sig": pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         "sketch": pa.array([s[:SKETCH].view(np.int64) for s in sets], pa.list_(pa.int64())),
                     }
                 )
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_shingles bigint, sig binary, sketch array<bigint>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    return mapped(rows, run, "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, sig binary, sketch array<bigint>")
 
 
-def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) -> DataFrame:
-    """(key, node, n, rare): each node under the rarest of its values, by band of size. values: node, v; sizes: node, n,
-    and m, the number of its values; least: SQL for the number of values that a similar set shares, from n."""
-    shared = values.select("v").groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    # a node's own values: those that others have too, rarest first; the ones that nobody has come before them
-    rows = values.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held")).join(sizes, "node")
-    room = (F.size("held") - F.expr(least) + 1).cast("int")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
-    kept = rows.where(room > 0).select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), room)).alias("x"))
-    return kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"))
+def shared_least(n: np.ndarray, percent: int) -> np.ndarray:
+    """Least number of retained values that a set of n shingles shares with one that it is linked to."""
+    return np.where(n * 100 <= SKETCH * percent, -(-n * percent // 100), SKETCH // 2)  # up to there both retain all
 
 
 def sketch_lists(classes: DataFrame, percent: int) -> DataFrame:
-    # exact if the similar set's sketch is the whole set too
-    least = f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})"
-    return by_rarest(classes.select("node", F.explode("sketch").alias("v")), classes.select("node", "n", F.size("sketch").alias("m")), least, percent)
-
-
-def full_lists(sets: DataFrame, percent: int) -> DataFrame:
-    return by_rarest(sets.select("node", F.explode("shingles").alias("v")), sets.select("node", "n", F.col("n").alias("m")), f"(n * {percent} + 99) div 100", percent)
+    """(key, node, n, rare): each class under the rarest of its retained values, by band of size; rare: how many of them
+    no other class retains. classes: node, n, sketch."""
+    values = classes.select("node", F.explode("sketch").alias("v"))
+    shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # a class's own values: those that others have too, rarest first; the ones that nobody has come before them
+    held = values.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
+    rows = held.join(classes.select("node", "n", F.size("sketch").alias("m")), "node")
+    least = F.expr(f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})")  # shared_least()
+    room = (F.size("held") - least + 1).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
+    kept = rows.where(room > 0).select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), room)).alias("x"))
+    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key")), "lists")
+    removed(shared)
+    return lists
 
 
 def distinct_lists(lists: DataFrame) -> DataFrame:
-    """Lists (key, node, n, rare, open) of two or more, some open; one of those that hold the same."""
+    """Written lists (key, node, n, rare, open) of two or more, some open; one of those that hold the same. lists is
+    written, and goes."""
     row = F.xxhash64("node", "open")
     marks = lists.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y"), F.max("open").alias("o")).where("c > 1 and o")
-    return lists.join(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
-
-
-def candidate_pairs(lists: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) of short lists, and (key, a, b, least) of long ones: a the leader, least the smallest size."""
-    sizes = lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least"))
-    rows = lists.join(sizes, "key")
-    short = rows.where(F.col("size") <= small).select("key", "node", "open")
+    keys = written(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "keys")
+    found = written(lists.join(keys, "key"), "lists")
+    removed(keys, lists)
+    return found
+
+
+def candidate_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written (a, b, least): the pairs of short lists (least null) and those of leaders a, with the smallest size of a
+    list; and (key, a, b): the lists that have leaders. lists is written, and goes."""
+    sizes = written(lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least")), "sizes")
+    rows = written(lists.join(sizes, "key").select("key", "node", "open", "size", F.col("lead.node").alias("a"), "least"), "rows")
+    short = rows.where(F.col("size") <= SMALL)
     other = short.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
-    pairs = short.join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b").distinct()
-    led = rows.where(F.col("size") > small).select("key", F.col("lead.node").alias("a"), F.col("node").alias("b"), "least").where("a <> b")
-    return pairs, led
-
+    pairs = short.select("key", "node", "open").join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b", F.lit(None).cast("bigint").alias("least"))
+    leads = rows.where((F.col("size") > SMALL) & (F.col("a") != F.col("node"))).select("key", "a", F.col("node").alias("b"), "least")
+    both = written(pairs.union(leads.select("a", "b", "least")).groupBy("a", "b").agg(F.min("least").alias("least")), "pairs")
+    led = written(leads.select("key", "a", "b"), "led")
+    removed(sizes, rows, lists)
+    return both, led
+
+
+def _padded(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of SKETCH values, filled up with the largest number, which stands for none."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(column), SKETCH), np.iinfo(_U).max, _U)
+    out[np.arange(SKETCH) < sizes[:, None]] = column.flatten().to_numpy().view(_U)
+    return out
 
-def estimate(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the lowest values of the union of two sketches that both hold."""
-    x, y = a[:SKETCH], b[:SKETCH]
-    union = np.union1d(x, y)[:SKETCH]
-    return len(np.intersect1d(np.intersect1d(x, union, True), y, True)) / max(1, len(union))
 
+def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of sketches: how many values both retain, the estimated similarity from the sketch of the union, the
+    values of both in order, and which of these b alone retains."""
+    x, y = _padded(a), _padded(b)
+    both = np.concatenate([x, y], 1)
+    order = np.argsort(both, 1, kind="stable")  # of equal values that of b comes second
+    both = np.take_along_axis(both, order, 1)
+    real = both != np.iinfo(_U).max
+    again = np.zeros_like(real)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    rank = np.cumsum(real & ~again, 1)
+    union = np.minimum(rank[:, -1], SKETCH)
+    estimate = (again & (rank <= SKETCH)).sum(1) / np.maximum(1, union)
+    twice = np.zeros_like(again)
+    twice[:, :-1] = again[:, 1:]
+    return again.sum(1), estimate, both, real & (order >= SKETCH) & ~again & ~twice
+
+
+def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b, least, overlap, likely, outer: whether a pair goes on to be verified; of a leader's, outer has the retained
+    values of b outside a for the next lists. nodes: node, n, sketch."""
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    rows = pairs.join(right, "b").join(left, "a")
 
-def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, rid_a, rid_b, linked, more, near, small: for candidates from leaders, more holds b's shingles outside a for
-    the next lists, near tells that b may be linked to smaller sets without them, small that it is such a set."""
-    none = F.lit(None).cast("bigint").alias("least")
-    both = pairs.select("a", "b", none).unionByName(led.drop("key")).groupBy("a", "b").agg(F.min("least").alias("least"))
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            overlap, share, values, alone = overlaps(batch.column("sketch_a"), batch.column("sketch_b"))
+            need = shared_least(batch.column("n_b").to_numpy(), percent)
+            likely = (share >= 0.5) | (overlap >= need)
+            led = batch.column("least").is_valid().to_numpy(zero_copy_only=False)
+            rank = np.cumsum(alone, 1)
+            room = np.where(led, rank[:, -1] - np.maximum(1, need - overlap) + 1, 0)
+            keep = alone & (rank <= room[:, None])
+            ends = np.append(0, np.cumsum(keep.sum(1))).astype(np.int32)
+            outer = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "least")), pa.array(overlap), pa.array(likely), outer], names=["a", "b", "least", "overlap", "likely", "outer"])
+
+    return mapped(rows, run, "a bigint, b bigint, least bigint, overlap bigint, likely boolean, outer array<bigint>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, rid_a, rid_b, linked, more, near, small: for a leader's pairs more holds b's shingles outside a for the next
+    lists, near tells that b may be linked to smaller sets without them, small that it is such a set. pairs: a, b, least."""
     left = sets.select(F.col("node").alias("a"), F.col("rid").alias("rid_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("rid").alias("rid_b"), F.col("shingles").alias("set_b"))
-    rows = both.join(right, "b").join(left, "a")
+    rows = pairs.join(right, "b").join(left, "a")
 
     def run(batches):
         for batch in batches:
@@ -155,13 +214,12 @@ def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
             out = []
             for least, x, y in zip(batch.column("least").to_pylist(), batch.column("set_a"), batch.column("set_b")):
                 x, y = x.values.to_numpy().view(_U), y.values.to_numpy().view(_U)
-                if least is None:
-                    n = len(np.intersect1d(x, y, True)) if estimate(x, y) >= 0.5 else 0
-                    out.append((100 * n >= percent * (len(x) + len(y) - n), None, False, False))
-                    continue
                 common = np.isin(y, x, assume_unique=True)
                 n = int(common.sum())
                 linked = 100 * n >= percent * (len(x) + len(y) - n)
+                if least is None:
+                    out.append((linked, None, False, False))
+                    continue
                 outside = y[~common]
                 # a set that is linked to y shares so much with it, and n of it at most within x
                 need = max(-(-percent * len(y) // 100), -(-percent * (len(y) + least) // (100 + percent)))
@@ -176,12 +234,16 @@ def verified(pairs: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
     return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, more array<bigint>, near boolean, small boolean")
 
 
-def next_lists(found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Lists of what verified() leaves open; led: candidate_pairs' long lists; nodes: node, n, rare."""
-    rows = led.select("key", "a", "b").join(found, ["a", "b"])
-    outside = rows.select("key", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
-    later = outside.select(F.xxhash64("key", "v").alias("key"), "node", "open").union(rows.where("near or small").select(F.xxhash64("key", F.lit("near")).alias("key"), F.col("b").alias("node"), F.col("near").alias("open")))
-    return distinct_lists(later).join(nodes, "node").select("key", "node", "n", "rare", "open")
+def next_lists(weighed: DataFrame, found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Written lists of what a round leaves open; weighed: of estimated(); found: of verified(); led: of candidate_pairs()."""
+    sketched = led.join(weighed.where("least is not null").select("a", "b", "likely", "outer"), ["a", "b"])
+    checked = led.join(found.where("more is not null"), ["a", "b"])
+    name = lambda kind, *cols: F.xxhash64("key", F.lit(kind), *cols).alias("key")
+    outer = sketched.select("key", F.col("b").alias("node"), (~F.col("likely")).alias("open"), F.explode("outer").alias("v")).select(name("outer", "v"), "node", "open")
+    more = checked.select("key", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v")).select(name("more", "v"), "node", "open")
+    near = checked.where("near or small").select(name("near"), F.col("b").alias("node"), F.col("near").alias("open"))
+    rows = outer.union(more).union(near).join(nodes.select("node", "n", "rare"), "node")
+    return distinct_lists(written(rows.select("key", "node", "n", "rare", "open"), "lists"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,47 +253,77 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels, edges.y == labels.id).groupBy(F.col("x").alias("id")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("jump"))
-        after = labels.join(near, "id").join(jump, "label").select("id", F.col("label").alias("was"), F.least("label", "near", "jump").alias("label"))
-        after = written(after, "labels")
-        labels = after.select("id", "label")
+        after = written(labels.join(near, "id").join(jump, "label").select("id", F.col("label").alias("was"), F.least("label", "near", "jump").alias("label")), "labels")
+        removed(labels)
+        labels = after
         if after.where("was <> label").isEmpty():
-            return labels
+            removed(edges)
+            return after.select("id", "label")
 
 
-def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept. Links are sets with 100 * |intersection| >= percent * |union|."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Features of each row, and of each class (sig, own, label): its own id, a struct of its smallest doc_id and a hash, and
+    the smallest one that it reaches. rows: doc_id, text."""
     feats = written(features(rows, width), "features")
     real = feats.where("sig is not null and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("sig"))
     classes = written(classes, "classes")
-    met = written(sketch_lists(classes, percent).select("key", "node"), "met")
-    active = met.join(met.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key").select("node").distinct()
-    wanted = written(classes.select("sig", "rid", "node").join(active, "node"), "wanted")
+    first = sketch_lists(classes, percent)
+    rare = written(first.groupBy("node").agg(F.first("rare").alias("rare")), "rare")
+    lists = distinct_lists(written(first.withColumn("open", F.lit(True)), "lists"))
+    wanted = written(lists.select("node").distinct().join(classes.select("sig", "rid", "node"), "node"), "wanted")
+    nodes = written(classes.select("node", "n", "sketch").join(rare, "node").join(wanted.select("node"), "node", "left_semi"), "nodes")
     sets = written(full_sets(rows, wanted, width), "sets")
-    lists = written(full_lists(sets, percent).withColumn("open", F.lit(True)), "lists")
-    nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
-    lists = written(distinct_lists(lists), "lists")
-    pairs, led = candidate_pairs(lists, SMALL)
-    # the first lists of one leader are gone on with as one
-    led = led.groupBy("a", "b").agg(F.min("least").alias("least")).withColumn("key", F.col("a")).select("key", "a", "b", "least")
-    pairs, led = written(pairs, "pairs"), written(led, "pairs")
-    links = None
+    links = []
     while True:
-        found = written(verified(pairs, led, sets, percent), "verified")
-        new = found.where("linked").select(F.col("rid_a").alias("x"), F.col("rid_b").alias("y"))
-        links = new if links is None else links.union(new)
-        lists = written(next_lists(found, led, nodes), "lists")
+        pairs, led = candidate_pairs(lists)
+        if not links:  # the first lists of one leader are gone on with as one
+            several, led = led, written(led.select(F.col("a").alias("key"), "a", "b").distinct(), "led")
+            removed(several)
+        weighed = written(estimated(pairs, nodes, percent), "weighed")
+        found = written(verified(weighed.where("likely").select("a", "b", "least"), sets, percent), "verified")
+        links.append(written(found.where("linked").select(F.struct(F.col("rid_a").alias("rid"), F.col("a").alias("node")).alias("x"), F.struct(F.col("rid_b").alias("rid"), F.col("b").alias("node")).alias("y")), "links"))
+        lists = next_lists(weighed, found, led, nodes)
+        removed(pairs, led, weighed, found)
         if lists.isEmpty():
             break
-        pairs, led = (written(x, "pairs") for x in candidate_pairs(lists, LATER))
-    labels = components(links)
-    of_class = classes.select("sig", "rid").join(labels, classes.rid == labels.id, "left").select("sig", F.coalesce("label", "rid").alias("component_id"))
-    grouped = real.select("doc_id", "n_shingles", "sig").join(of_class, "sig").select("doc_id", "n_shingles", "component_id")
+    labels = components(reduce(DataFrame.union, links))
+    removed(lists, sets, nodes, wanted, rare, first, *links)
+    own = classes.select("sig", F.struct("rid", "node").alias("own"))
+    return feats, own.join(labels, own.own == labels.id, "left").select("sig", "own", F.coalesce("label", "own").alias("label"))
+
+
+def group(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept. Links are sets with 100 * |intersection| >= percent * |union|."""
+    feats, classes = labelled(docs.select(integer_id(docs, id_col).alias("doc_id"), F.col(text_col).alias("text")), width, percent)
+    grouped = feats.where("sig is not null and doc_id is not null").join(classes, "sig").select("doc_id", "n_shingles", F.col("label.rid").alias("component_id"))
     alone = feats.where("sig is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that are left when one document of each group stays: that of the smallest doc_id.
+
+    A row is meant by its doc_id and text: of rows that repeat both one is left, and of a repeated doc_id with different
+    texts each goes by its own text. Null doc_ids come last in a group, by a hash of the text. Texts without shingles stay
+    in all their rows."""
+    text = docs[text_col]
+    late = F.lit(2**62) + F.shiftright(F.abs(F.shiftright(F.xxhash64(text), 1)), 1)
+    key = F.coalesce(integer_id(docs, id_col), late)
+    feats, classes = labelled(docs.select(key.alias("doc_id"), text.alias("text")), width, percent)
+    best = classes.where("own = label").select("sig", F.col("own.rid").alias("rid"))
+    rows = feats.where("sig is not null").join(best, "sig").where("doc_id = rid").select("doc_id", "t1", "t2").distinct()
+    stays = written(rows, "stays")
+    t1, t2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    of_group = docs.join(stays, (key == stays.doc_id) & (t1 == stays.t1) & (t2 == stays.t2), "left_semi")
+    blank = F.coalesce(~F.rlike(text, F.lit(r"[^ \t-\r]")), F.lit(True))
+    others = [c for c in docs.columns if c != text_col]
+    order = F.xxhash64(F.to_json(F.struct(*(docs[c] for c in others)))) if others else F.lit(0)
+    # aggregated where the rows are first, so that many equal ones make no large group
+    one = of_group.where(~blank).groupBy(key.alias("k"), t1.alias("t1"), t2.alias("t2")).agg(F.min_by(F.struct(*(docs[c] for c in docs.columns)), order).alias("row"))
+    return one.select("row.*").unionByName(docs.where(blank))
+
+
 def full_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, sig, rid, n, shingles) of the classes in wanted (node, sig, rid), made again from their texts. A bitmap of
     the wanted ids, of a fixed size, keeps most other texts from being worked again; the join decides."""

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tessera.llm import near_dedup
-from tessera.llm.near_dedup import SMALL, group
+from tessera.llm.near_dedup import SMALL, group, keep_one, overlaps, shared_least
 
 
 def brute(rows, width, percent=80):
@@ -55,9 +55,9 @@ def edited(r, base, n):
     return out
 
 
-@pytest.mark.parametrize("seed,length,later", [(1, 120, near_dedup.LATER), (2, 40, 6)])
-def test_groups_of_edited_copies(spark, monkeypatch, seed, length, later):
-    monkeypatch.setattr(near_dedup, "LATER", later)  # few, so that leaders lead again
+@pytest.mark.parametrize("seed,length,small", [(1, 120, near_dedup.SMALL), (2, 40, 3)])
+def test_groups_of_edited_copies(spark, monkeypatch, seed, length, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)  # few, so that leaders lead again
     r = random.Random(seed)
     base = words(r, length)
     passage = " ".join(words(r, 30))
@@ -80,3 +80,38 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in group(df).collect())
     assert got == [(0, 2, None, True), (2, 2, 2, True), (3, 2, 2, False), (3, 2, 2, False), (4, 0, 4, True)]
     assert group(df.limit(0)).count() == 0
+
+
+def test_overlaps_and_estimates():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(7)
+    pairs = []
+    for _ in range(300):
+        pool = [r.getrandbits(64) for _ in range(r.randint(1, 140))]
+        pairs.append(tuple(sorted(r.sample(pool, r.randint(1, len(pool))))[: near_dedup.SKETCH] for _ in "ab"))
+    a, b = (pa.array([np.array(p[i], np.uint64).view(np.int64) for p in pairs], pa.list_(pa.int64())) for i in (0, 1))
+    overlap, estimate, values, alone = overlaps(a, b)
+    for k, (x, y) in enumerate(pairs):
+        union = sorted({*x, *y})[: near_dedup.SKETCH]
+        assert overlap[k] == len({*x} & {*y}) and abs(estimate[k] - len({*x} & {*y} & {*union}) / len(union)) < 1e-12
+        assert values[k][alone[k]].tolist() == sorted({*y} - {*x})
+    assert shared_least(np.array([1, 5, 51, 52, 900]), 80).tolist() == [1, 4, 41, 32, 32]
+
+
+def test_one_row_of_each_group_stays(spark):
+    r = random.Random(3)
+    base = words(r, 80)
+    near = " ".join(edited(r, base, 1))
+    rows = [(5, " ".join(base), "a", 1), (3, near, "b", 2), (3, near, "b", 2), (3, near, "c", 2), (3, "an altogether other text of the same id that is alone", "d", 3)]
+    rows += [(None, " ".join(base), "e", 4), (None, "this text of no id stands twice in the table", "f", 5), (None, "this text of no id stands twice in the table", "g", 5)]
+    rows += [(7, None, "h", 6), (7, "", "i", 6), (8, " \n", "j", 6), (9, "one", "k", 6), (10, "ONE", "l", 6), (3, "an altogether other text of the same id that is alone", "m", 3)]
+    df = spark.createDataFrame([(*x, {"k": 1}) for x in rows], "doc_id bigint, text string, t1 string, rid int, m map<string,int>")
+    got = keep_one(df)
+    assert got.columns == df.columns and got.schema["m"].dataType == df.schema["m"].dataType
+    found = Counter((str(x.doc_id), x.text) for x in got.collect())
+    assert found == Counter([("3", near), ("3", rows[4][1]), ("None", rows[6][1]), ("7", None), ("7", ""), ("8", " \n"), ("9", "one")])
+    assert keep_one(df.limit(0)).count() == 0
+    with pytest.raises(TypeError):
+        group(spark.createDataFrame([("1", "a")], "doc_id string, text string"))
