@@ -9,6 +9,10 @@ from dataclasses import dataclass
 from . import unicode as U
 
 
+#: Tokens that are looked for one by one before the pattern is tried.
+_FEW = 16
+
+
 @dataclass(frozen=True)
 class AddedToken:
     id: int
@@ -60,6 +64,8 @@ class AddedTokens:
         if matcher is None:
             return [text] if text else []
         pattern, held = matcher
+        if len(held) <= _FEW and not any(map(text.__contains__, held)):
+            return [text] if text else []
         word, blank = U.char_class("word"), U.char_class("space")
         out: list[str | int] = []
         done = 0

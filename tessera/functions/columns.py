@@ -7,7 +7,6 @@ Null texts give null. All functions are deterministic, so filters on other colum
 from __future__ import annotations
 
 import json
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.plans.spec import TokenizerSpec
+from tessera.plans.spec import ID, TokenizerSpec
 from tessera.sources.files import as_text
 
 from . import unicode as U
@@ -30,41 +29,47 @@ def _mapped(column: Column | str, kind: str, arrow_kind: pa.DataType, one) -> Co
     return apply(column)
 
 
-def encode(column: Column | str, spec: TokenizerSpec) -> Column:
-    """array<int>: content ids of a text or binary column, without special tokens."""
+def encode(column: Column | str, spec: TokenizerSpec, room: int | None = None, side: str = "right") -> Column:
+    """array<int>: content ids of a text or binary column, without special tokens. room: at most so many, from the start,
+    or from the end if the left is cut; what lies far beyond them isn't worked."""
 
     @F.arrow_udf("array<int>")
     def apply(values: pa.Array) -> pa.Array:
-        encode, flat, ends = spec.runtime.encode, array("i"), [0]
-        for v in values.to_pylist():
-            if v is None:
-                ends[-1], at = None, ends[-1]  # a null row begins where the next one does
-                ends.append(at)
-            else:
-                flat.extend(encode(as_text(v)))
-                ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+        run = spec.runtime
+        one = run.encode_bytes if room is None else lambda text: run.encode_some(text, room, side)
+        found = [b"" if v is None else one(as_text(v)) for v in values.to_pylist()]
+        ends = np.zeros(len(found) + 1, np.int32)
+        np.cumsum([len(x) // ID for x in found], out=ends[1:])
+        ids = pa.py_buffer(b"".join(found))
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, ids])
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=values.is_null() if values.null_count else None)
 
     return apply(column)
 
 
 def count_tokens(column: Column | str, spec: TokenizerSpec) -> Column:
     """bigint: number of content ids; only the numbers leave the workers."""
-    return _mapped(column, "bigint", pa.int64(), lambda v: len(spec.runtime.encode(as_text(v))))
+    return _mapped(column, "bigint", pa.int64(), lambda v: len(spec.runtime.encode_bytes(as_text(v))) // ID)
 
 
-def tokenize(column: Column | str, spec: TokenizerSpec) -> Column:
-    """array<string>: the tokens of the content ids."""
+#: Ids up to this one are named by a literal array of tokens in the plan.
+_NAMED = 1 << 18
 
-    def one(v):
-        runtime = spec.runtime
-        return runtime.tokens(runtime.encode(as_text(v)))
 
-    return _mapped(column, "array<string>", pa.list_(pa.string()), one)
+def tokenize(column: Column | str, spec: TokenizerSpec) -> Column:
+    """array<string>: the tokens of the content ids. Only ids leave the workers; their names are looked up in an array."""
+    runtime = spec.runtime
+    ids = {*runtime.by_id, *runtime.added.decoded}
+    names = [runtime.id_to_token(i) for i in range(max(ids) + 1)] if max(ids) < _NAMED else []
+    apart = next((c for c in "\x00\x01\x02\x1f" if not any(c in (n or "") for n in names)), None)
+    if not names or apart is None:
+        return _mapped(column, "array<string>", pa.list_(pa.string()), lambda v: spec.runtime.tokens(spec.runtime.encode(as_text(v))))
+    table = F.split(F.lit(apart.join(n or "" for n in names)), apart, -1)  # folded to one literal
+    return F.transform(encode(column, spec), lambda i: F.get(table, i))
 
 
 def normalize(column: Column | str, spec: TokenizerSpec) -> Column:
-    return _mapped(column, "string", pa.string(), lambda v: spec.runtime.normalize(as_text(v)))
+    return _mapped(column, "string", pa.string(), lambda v: spec.runtime.normalized(as_text(v)))
 
 
 def decode(column: Column | str, spec: TokenizerSpec, skip_special_tokens: bool = False) -> Column:

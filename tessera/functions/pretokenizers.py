@@ -20,7 +20,7 @@ def patterns(spec: dict | None, klass: Callable[[str], str] = U.char_class) -> l
     if kind == "Sequence":
         return [p for part in spec.get("pretokenizers", []) for p in patterns(part, klass)]
     if kind == "BertPreTokenizer":
-        return [f"[^{klass('space')}]+", _BY_BEHAVIOUR["isolated"].replace("X", klass("punct"))]
+        return [f"[{klass('punct')}]|[^{klass('space')}{klass('punct')}]+"]  # no mark of punctuation is a blank
     if kind == "WhitespaceSplit":
         return [f"[^{klass('space')}]+"]
     if kind == "Whitespace":
@@ -47,6 +47,9 @@ def splits_on_blanks(spec: dict | None) -> bool:
 def compile_pre_tokenizer(spec: dict | None) -> Callable[[str], list[str]]:
     found = [U.compiled(p) for p in patterns(spec)]
 
+    if len(found) == 1:
+        return found[0].findall
+
     def split(text: str) -> list[str]:
         pieces = [text] if text else []
         for p in found:

@@ -18,7 +18,7 @@ from tessera.functions import columns
 from tessera.operators import vocabulary
 from tessera.operators.assemble import Padding, assemble, exploded, row_ids
 from tessera.plans import distinct_words
-from tessera.plans.spec import TokenizerSpec
+from tessera.plans.spec import Template, TokenizerSpec, room_for_content
 from tessera.session import ship, spread
 from tessera.sources.definitions import definition_from_vocab
 from tessera.sources.files import extract_field_column, framed, lossy_utf8
@@ -167,7 +167,9 @@ def wordpiece_words(spark, folder):
 
 
 def _ids(**options) -> Column:
-    return row_ids(columns.encode("text", spec()), spec().runtime.template, **options)
+    t = spec().runtime.template
+    room = room_for_content(t if options.get("special", True) else Template(), options.get("max_length"))
+    return row_ids(columns.encode("text", spec(), room, options.get("truncation_side", "right")), t, **options)
 
 
 @query(f"{_tokens_sql('documents', 'doc_id')} SELECT doc_id, pos, token_id FROM tokens")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 from typing import Any
@@ -16,8 +17,14 @@ from tessera.functions.normalizers import compile_normalizer
 from tessera.functions.pretokenizers import compile_pre_tokenizer, splits_on_blanks
 from tessera.functions.wordpiece import WordPiece
 
+_BLANK = re.compile(r"[ \t\n\r]")
 _CHUNKS = re.compile(r"[^ \t\n\r]+")
-DEFAULT_MEMO = 1 << 18
+#: What str.split() parts at as well: some of it is no white space here, some vanishes in normalizing.
+_OTHER_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+DEFAULT_MEMO = 1 << 19
+#: Bytes of an id, characters of the longest piece that is kept in the memo, and of a text that is worked at once.
+ID, KEPT, AT_ONCE = 4, 64, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -66,8 +73,28 @@ class Template:
         return cls(a, c, b, d, content)
 
 
+class Memo(dict):
+    """Strings and their ids as bytes; full, it admits no more. It never changes a result."""
+
+    def __init__(self, find: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.find, self.most = find, most
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.find(key)
+        if len(key) <= KEPT and len(self) < self.most:
+            self[key] = found
+        return found
+
+
+def chunks(text: str) -> list[str]:
+    """What spaces, tabs, line feeds and returns part."""
+    other = any(map(text.__contains__, _OTHER_BLANKS)) or not text.isascii() and any(map(text.__contains__, _WIDE_BLANKS))
+    return _CHUNKS.findall(text) if other else text.split()
+
+
 class Runtime:
-    """Encodes and decodes single texts; holds a bounded memo that never changes a result."""
+    """Encodes and decodes single texts."""
 
     def __init__(self, definition: dict, memo_entries: int = DEFAULT_MEMO):
         if not isinstance(definition, dict) or not isinstance(definition.get("model"), dict):
@@ -84,39 +111,72 @@ class Runtime:
         # is looked for after normalizing, where it might lie across one
         blank = all(n and n.isspace() for n in map(self.normalize, " \t\n\r"))
         self.chunkable = blank and splits_on_blanks(definition.get("pre_tokenizer")) and self.added.late is None
-        self.memo_entries, self._memo = memo_entries, {}
+        #: the same for texts with added tokens that are looked for before
+        self.cuttable = self.chunkable and not any(_BLANK.search(t.content) for t in self.added.tokens)
+        #: what becomes of Latin-1 characters; no step looks at the neighbours of one
+        self._latin = str.maketrans({c: self.normalize(c) for c in map(chr, range(256))})
+        self._pieces = Memo(lambda piece: array("i", self.model.tokenize(piece)).tobytes(), memo_entries)
+        self._chunks = Memo(self._segment, memo_entries)
 
     def clear_memo(self) -> None:
-        self._memo.clear()
-
-    def _segment(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self.added.split(self.normalize(text), self.added.late):
-            if isinstance(part, int):
-                out.append(part)
+        self._pieces.clear()
+        self._chunks.clear()
+
+    def normalized(self, text: str) -> str:
+        """normalize(), by a table where it can be."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.normalize(text)
+        return text.translate(self._latin)
+
+    def _windows(self, text: str) -> Iterator[str]:
+        """A long text in parts that end before a blank, where it may be cut."""
+        start = 0
+        while self.cuttable and len(text) - start > AT_ONCE and (m := _BLANK.search(text, start + AT_ONCE)):
+            yield text[start : m.start()]
+            start = m.start()
+        yield text[start:] if start else text
+
+    def _segment(self, text: str) -> bytes:
+        """Ids of a text without added tokens that are looked for before normalizing."""
+        get, out = self._pieces.__getitem__, []
+        for part in self.added.split(self.normalized(text), self.added.late):
+            out.append(array("i", (part,)).tobytes() if isinstance(part, int) else b"".join(map(get, self.pre_tokenize(part))))
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids of the text without special tokens, as 32-bit integers of the machine's order."""
+        get, out = self._chunks.__getitem__, []
+        for window in self._windows(text):
+            for part in self.added.split(window, self.added.raw):
+                if isinstance(part, int):
+                    out.append(array("i", (part,)).tobytes())
+                else:
+                    out.append(b"".join(map(get, chunks(part))) if self.chunkable else self._segment(part))
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def encode_some(self, text: str, room: int, side: str = "right") -> bytes:
+        """The first `room` ids of the text, or the last ones if the left is cut, without working much more of it."""
+        size = 8 * room + 64
+        while self.cuttable and size < len(text):
+            if side == "right":
+                m = _BLANK.search(text, size)
+                part = text[: m.start()] if m else text
             else:
-                for piece in self.pre_tokenize(part):
-                    out += self.model.tokenize(piece)
-        return out
+                part = text[max(text.rfind(c, 0, len(text) - size) for c in " \t\n\r") + 1 :]
+            found = self.encode_bytes(part)
+            if len(found) >= room * ID:
+                break
+            size *= 4
+        else:
+            found = self.encode_bytes(text)
+        return found[: room * ID] if side == "right" else found[max(0, len(found) - room * ID) :]
 
     def encode(self, text: str) -> list[int]:
         """Ids of the text without special tokens."""
-        out: list[int] = []
-        for part in self.added.split(text, self.added.raw):
-            if isinstance(part, int):
-                out.append(part)
-            elif not self.chunkable:
-                out += self._segment(part)
-            else:
-                memo = self._memo
-                for chunk in _CHUNKS.findall(part):
-                    found = memo.get(chunk)
-                    if found is None:
-                        found = tuple(self._segment(chunk))
-                        if len(chunk) <= 64 and len(memo) < self.memo_entries:
-                            memo[chunk] = found
-                    out += found
-        return out
+        return array("i", self.encode_bytes(text)).tolist()
 
     def assembled(self, ids: list[int], special: bool = True, max_length: int | None = None, side: str = "right") -> list[int]:
         t = self.template if special else Template()

@@ -172,7 +172,8 @@ class Tokenizer:
 
     def encode_column(self, column: Column | str, *, add_special_tokens=True, max_length=None, truncation_side="right") -> Column:
         """array<int> of ids."""
-        return row_ids(columns.encode(column, self.spec), self.template, add_special_tokens, max_length, truncation_side)
+        room = room_for_content(self.template if add_special_tokens else Template(), max_length)
+        return row_ids(columns.encode(column, self.spec, room, truncation_side), self.template, add_special_tokens, max_length, truncation_side)
 
     def count_column(self, column: Column | str) -> Column:
         return columns.count_tokens(column, self.spec)

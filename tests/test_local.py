@@ -184,3 +184,37 @@ def test_memo(tok):
     small.clear_cache()
     with pytest.raises(ValueError):
         small.set_cache_entries(0)
+
+
+def test_cuts_and_memos_never_change_ids():
+    import random
+    import re
+
+    from tessera.plans import spec as S
+    from tessera.plans.queries import spec
+
+    from .texts import ALL
+
+    run, r = spec().runtime, random.Random(6)
+    plain = S.Runtime(run.definition, 1)
+    blanks = {chr(c) for c in range(0x110000) if chr(c).isspace()}
+    assert blanks == {*" \t\n\r", *S._OTHER_BLANKS, *S._WIDE_BLANKS}
+    odd = ["a\x0bb c\x0cd", "a\x1cb \x1d c", "x\x85y\xa0z", "u\u2028v\u3000w \u1680", "é\xa0É ", "\xb4 ½ ÿ ß\xad"]
+    for t in [*ALL, *odd]:
+        assert run.normalized(t) == run.normalize(t)
+        assert S.chunks(t) == re.findall(r"[^ \t\n\r]+", t)
+        want = [i for p in plain.added.split(t, plain.added.raw) for i in ([p] if isinstance(p, int) else [i for w in plain.pre_tokenize(plain.normalize(p)) for i in plain.model.tokenize(w)])]
+        assert run.encode(t) == plain.encode(t) == want
+        for room in (0, 1, 3, 20):
+            assert list(memoryview(run.encode_some(t, room)).cast("i")) == want[:room]
+            assert list(memoryview(run.encode_some(t, room, "left")).cast("i")) == want[max(0, len(want) - room) :]
+    long = " ".join(r.choice(ALL) for _ in range(3000))
+    whole = run.encode(long)
+    for size in (1 << 10, 1 << 16):
+        S.AT_ONCE, before = size, S.AT_ONCE
+        assert run.encode(long) == whole
+        S.AT_ONCE = before
+    for room in (5, 500):
+        assert list(memoryview(run.encode_some(long, room)).cast("i")) == whole[:room]
+        assert list(memoryview(run.encode_some(long, room, "left")).cast("i")) == whole[-room:]
+    assert len(plain._chunks) <= 1
