@@ -4,25 +4,28 @@ Texts are lower-cased (A-Z) and cut into words; a document's set is its distinct
 its sketch the SKETCH lowest of them, which it retains. Documents with the same set are one class; classes are compared.
 
 1. Inverted lists of retained values. Values that only one class retains are dropped. Two sets that are similar enough
-   share at least shared_least() retained values (exact for sets that fit their sketch; for larger ones half a sketch,
-   which a link at the very threshold misses with a chance under 1e-8), so each class is listed under the rarest of its
-   values only, all but that many less one, and similar ones still meet. Lists are kept by bands of set size, as similar
-   sets have similar sizes; of lists with the same classes one is kept.
+   share at least a number of retained values (exact for sets that fit their sketch; for larger ones half a sketch at
+   t = 0.8, which a link at the very threshold misses with a chance under 1e-8), so each class is listed under the rarest
+   of its values only, all but that many less one, and similar ones still meet. Lists are kept by bands of set size, as
+   similar sets have similar sizes; of lists with the same classes one is kept.
 2. A list of at most SMALL classes gives its pairs. A longer one gives each class with the list's leader only: the one
    with the fewest values of its own, which in a group of copies is what the others were made from. So candidates grow
    with the rows of the lists and not with their squares.
 3. Every candidate pair, a leader's too, has its overlap of retained values counted, and the similarity estimated from the
-   sketch of the union: it goes on only from an estimate of a half, or an overlap as large as a link needs.
+   sketch of the union. It goes on only if the estimate leaves a link possible; a leader's pair already if it leaves a
+   similarity of 2t - 1 possible (t = 0.8 for links).
 4. Pairs that go on are verified by the exact Jaccard similarity of their full sets.
-5. What the leader l leaves open: classes x and y of its list may be linked though y isn't linked to l.
-   If y was let go by the sketches, x and y share retained values outside the sketch of l, since y shares too few with l:
-   those values part the list into lists, as many of each class as needed.
-   Else both were verified. Sets differ by D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with
-   b = (1-t)/(1+t). If x and y share nothing outside l, D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as
-   D(l, y) > b(|l|+|y|), that is no link unless |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles
-   outside l part the list into lists too, and one more list holds the smaller sets and the few y so near to l.
-   Only lists with a class that isn't linked to l go on. This repeats until none is left; a list never holds the leader
-   of the one it comes from, and copies of one text fall apart by their own changes.
+5. What leaders leave open: classes x and y of a list may be linked though y isn't linked to its leader l. If x is linked
+   to l, y has a similarity of 2t - 1 to l at least, since 1 - similarity is a metric. So only classes go on that aren't
+   linked to l, and those that are where a list holds such a y. These few are listed under the rarest shingles of their
+   full sets, which part them better than retained values do; again short lists (of LATER, once leaders have been tried)
+   give their pairs, to be estimated and verified, and long ones a leader's, to be verified.
+   Sets differ by D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing
+   outside l, D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as D(l, y) > b(|l|+|y|), that is no link
+   unless |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l part a list into lists, again
+   only as many of each class as a link needs, and one more list holds the smaller sets and the few y so near to l. Only
+   lists with a class that isn't linked to l go on. This repeats until none is left; a list never holds the leader of
+   the one it comes from, and copies of one text fall apart by their own changes.
 
 Links go through label propagation with pointer jumping, in tables; nothing about documents reaches the driver but the
 numbers of rows left. Every table that is used again is written to the shared folder, and deleted once all that reads it
@@ -48,8 +51,8 @@ from pyspark.sql import functions as F
 from ._common import bitmap, integer_id, mapped, may_hold, pieces, removed, written
 
 SKETCH = 64
-#: Most classes of a list that gives all its pairs.
-SMALL = 16
+#: Most classes of a list that gives all its pairs: at first, and of the lists that leaders leave.
+SMALL, LATER = 8, 128
 _U = np.uint64
 
 
@@ -102,28 +105,39 @@ def features(docs: DataFrame, width: int) -> DataFrame:
     return mapped(rows, run, "doc_id bigint, t1 bigint, t2 bigint, n_shingles bigint, sig binary, sketch array<bigint>")
 
 
-def shared_least(n: np.ndarray, percent: int) -> np.ndarray:
-    """Least number of retained values that a set of n shingles shares with one that it is linked to."""
-    return np.where(n * 100 <= SKETCH * percent, -(-n * percent // 100), SKETCH // 2)  # up to there both retain all
+def sketch_share(percent: int, links: int = 1) -> float:
+    """Least share of a union's sketch that both retain, for sets that are linked over so many links: by chance a sketch
+    has less than the similarity, but not by so much."""
+    return max(0.0, 1 - links * (1 - percent / 100) - (0.3 if links == 1 else 0.35))
 
 
-def sketch_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, rare): each class under the rarest of its retained values, by band of size; rare: how many of them
-    no other class retains. classes: node, n, sketch."""
-    values = classes.select("node", F.explode("sketch").alias("v"))
+def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) -> DataFrame:
+    """Written lists (key, node, n, rare): each class under the rarest of its values, by band of size; rare: how many of them
+    no other class has. values: node, v; sizes: node, n, and m, the number of its values; least: SQL for the number of
+    values that a similar set shares, from n."""
     shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     # a class's own values: those that others have too, rarest first; the ones that nobody has come before them
     held = values.join(shared, "v").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
-    rows = held.join(classes.select("node", "n", F.size("sketch").alias("m")), "node")
-    least = F.expr(f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {SKETCH // 2})")  # shared_least()
-    room = (F.size("held") - least + 1).cast("int")
+    rows = held.join(sizes, "node")
+    room = (F.size("held") - F.expr(least) + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
     kept = rows.where(room > 0).select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), room)).alias("x"))
-    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key")), "lists")
+    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"), F.lit(True).alias("open")), "lists")
     removed(shared)
     return lists
 
 
+def sketch_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Lists by retained values; classes: node, n, sketch."""
+    least = f"if(n * 100 <= {SKETCH * percent}, (n * {percent} + 99) div 100, {max(1, round(SKETCH * sketch_share(percent)))})"
+    return by_rarest(classes.select("node", F.explode("sketch").alias("v")), classes.select("node", "n", F.size("sketch").alias("m")), least, percent)
+
+
+def full_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Lists by all shingles; sets: node, n, shingles."""
+    return by_rarest(sets.select("node", F.explode("shingles").alias("v")), sets.select("node", "n", F.col("n").alias("m")), f"(n * {percent} + 99) div 100", percent)
+
+
 def distinct_lists(lists: DataFrame) -> DataFrame:
     """Written lists (key, node, n, rare, open) of two or more, some open; one of those that hold the same. lists is
     written, and goes."""
@@ -135,15 +149,15 @@ def distinct_lists(lists: DataFrame) -> DataFrame:
     return found
 
 
-def candidate_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(lists: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     """Written (a, b, least): the pairs of short lists (least null) and those of leaders a, with the smallest size of a
     list; and (key, a, b): the lists that have leaders. lists is written, and goes."""
     sizes = written(lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least")), "sizes")
     rows = written(lists.join(sizes, "key").select("key", "node", "open", "size", F.col("lead.node").alias("a"), "least"), "rows")
-    short = rows.where(F.col("size") <= SMALL)
+    short = rows.where(F.col("size") <= small)
     other = short.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
     pairs = short.select("key", "node", "open").join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b", F.lit(None).cast("bigint").alias("least"))
-    leads = rows.where((F.col("size") > SMALL) & (F.col("a") != F.col("node"))).select("key", "a", F.col("node").alias("b"), "least")
+    leads = rows.where((F.col("size") > small) & (F.col("a") != F.col("node"))).select("key", "a", F.col("node").alias("b"), "least")
     both = written(pairs.union(leads.select("a", "b", "least")).groupBy("a", "b").agg(F.min("least").alias("least")), "pairs")
     led = written(leads.select("key", "a", "b"), "led")
     removed(sizes, rows, lists)
@@ -158,52 +172,35 @@ def _padded(column: pa.Array) -> np.ndarray:
     return out
 
 
-def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each pair of sketches: how many values both retain, the estimated similarity from the sketch of the union, the
-    values of both in order, and which of these b alone retains."""
-    x, y = _padded(a), _padded(b)
-    both = np.concatenate([x, y], 1)
-    order = np.argsort(both, 1, kind="stable")  # of equal values that of b comes second
-    both = np.take_along_axis(both, order, 1)
+def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair of sketches: how many values both retain, and the similarity estimated from the sketch of the union."""
+    both = np.sort(np.concatenate([_padded(a), _padded(b)], 1), 1)
     real = both != np.iinfo(_U).max
     again = np.zeros_like(real)
     again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
     rank = np.cumsum(real & ~again, 1)
-    union = np.minimum(rank[:, -1], SKETCH)
-    estimate = (again & (rank <= SKETCH)).sum(1) / np.maximum(1, union)
-    twice = np.zeros_like(again)
-    twice[:, :-1] = again[:, 1:]
-    return again.sum(1), estimate, both, real & (order >= SKETCH) & ~again & ~twice
-
-
-def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b, least, overlap, likely, outer: whether a pair goes on to be verified; of a leader's, outer has the retained
-    values of b outside a for the next lists. nodes: node, n, sketch."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    return again.sum(1), (again & (rank <= SKETCH)).sum(1) / np.clip(rank[:, -1], 1, SKETCH)
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """a, b, least, overlap, likely: whether a pair goes on to be verified. pairs: a, b, least; sketches: node, sketch."""
+    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
+    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     rows = pairs.join(right, "b").join(left, "a")
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            overlap, share, values, alone = overlaps(batch.column("sketch_a"), batch.column("sketch_b"))
-            need = shared_least(batch.column("n_b").to_numpy(), percent)
-            likely = (share >= 0.5) | (overlap >= need)
-            led = batch.column("least").is_valid().to_numpy(zero_copy_only=False)
-            rank = np.cumsum(alone, 1)
-            room = np.where(led, rank[:, -1] - np.maximum(1, need - overlap) + 1, 0)
-            keep = alone & (rank <= room[:, None])
-            ends = np.append(0, np.cumsum(keep.sum(1))).astype(np.int32)
-            outer = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[keep].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "least")), pa.array(overlap), pa.array(likely), outer], names=["a", "b", "least", "overlap", "likely", "outer"])
-
-    return mapped(rows, run, "a bigint, b bigint, least bigint, overlap bigint, likely boolean, outer array<bigint>")
+            overlap, share = overlaps(batch.column("sketch_a"), batch.column("sketch_b"))
+            least = np.where(batch.column("least").is_valid().to_numpy(zero_copy_only=False), sketch_share(percent, 2), sketch_share(percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "least")), pa.array(overlap), pa.array(share >= least)], names=["a", "b", "least", "overlap", "likely"])
+
+    return mapped(rows, run, "a bigint, b bigint, least bigint, overlap bigint, likely boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, rid_a, rid_b, linked, more, near, small: for a leader's pairs more holds b's shingles outside a for the next
-    lists, near tells that b may be linked to smaller sets without them, small that it is such a set. pairs: a, b, least."""
+    """a, b, rid_a, rid_b, linked, close, more, near, small: for a leader's pairs close tells that b may be linked to classes
+    that are linked to a, more holds b's shingles outside a for the next lists, near tells that b may be linked to smaller
+    sets without them, small that it is such a set. pairs: a, b, least (null where there is no leader)."""
     left = sets.select(F.col("node").alias("a"), F.col("rid").alias("rid_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("rid").alias("rid_b"), F.col("shingles").alias("set_b"))
     rows = pairs.join(right, "b").join(left, "a")
@@ -216,9 +213,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = x.values.to_numpy().view(_U), y.values.to_numpy().view(_U)
                 common = np.isin(y, x, assume_unique=True)
                 n = int(common.sum())
-                linked = 100 * n >= percent * (len(x) + len(y) - n)
+                union = len(x) + len(y) - n
+                linked = 100 * n >= percent * union
                 if least is None:
-                    out.append((linked, None, False, False))
+                    out.append((linked, False, None, False, False))
                     continue
                 outside = y[~common]
                 # a set that is linked to y shares so much with it, and n of it at most within x
@@ -227,23 +225,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 # D(x, y) - b(|x|+|y|) <= (1-b)(|x|-least), times 100 + percent
                 over = (len(x) + len(y) - 2 * n) * (100 + percent) - (100 - percent) * (len(x) + len(y))
                 near = not linked and over <= 2 * percent * (len(x) - least)
-                out.append((linked, more, near, len(y) < len(x)))
-            linked, more, near, small = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_pydict(cols | {"linked": pa.array(linked, pa.bool_()), "more": pa.array(more, pa.list_(pa.int64())), "near": pa.array(near, pa.bool_()), "small": pa.array(small, pa.bool_())})
-
-    return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, more array<bigint>, near boolean, small boolean")
+                out.append((linked, not linked and 100 * n >= (2 * percent - 100) * union, more, near, len(y) < len(x)))
+            linked, close, more, near, small = zip(*out) if out else ((),) * 5
+            yield pa.RecordBatch.from_pydict(cols | {"linked": pa.array(linked, pa.bool_()), "close": pa.array(close, pa.bool_()), "more": pa.array(more, pa.list_(pa.int64())), "near": pa.array(near, pa.bool_()), "small": pa.array(small, pa.bool_())})
+
+    return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, close boolean, more array<bigint>, near boolean, small boolean")
+
+
+def left_open(weighed: DataFrame, found: DataFrame, led: DataFrame) -> DataFrame:
+    """Written node: the classes that the first leaders leave open; weighed: of estimated(); found: of verified()."""
+    checked = found.select("a", "b", "linked", "close")
+    rows = led.join(weighed.where("least is not null").select("a", "b"), ["a", "b"]).join(checked, ["a", "b"], "left")
+    members = written(rows.select("key", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("close", F.lit(False)).alias("close")), "members")
+    has = members.groupBy("key").agg(F.sum((~F.col("linked")).cast("int")).alias("apart"), F.max("close").alias("any_close")).where("apart > 1 or any_close")
+    has = written(has, "has")
+    out = written(members.join(has, "key").where("not linked or any_close").select(F.col("b").alias("node")).distinct(), "open")
+    removed(members, has)
+    return out
 
 
-def next_lists(weighed: DataFrame, found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written lists of what a round leaves open; weighed: of estimated(); found: of verified(); led: of candidate_pairs()."""
-    sketched = led.join(weighed.where("least is not null").select("a", "b", "likely", "outer"), ["a", "b"])
-    checked = led.join(found.where("more is not null"), ["a", "b"])
-    name = lambda kind, *cols: F.xxhash64("key", F.lit(kind), *cols).alias("key")
-    outer = sketched.select("key", F.col("b").alias("node"), (~F.col("likely")).alias("open"), F.explode("outer").alias("v")).select(name("outer", "v"), "node", "open")
-    more = checked.select("key", F.col("b").alias("node"), (~F.col("linked")).alias("open"), F.explode("more").alias("v")).select(name("more", "v"), "node", "open")
-    near = checked.where("near or small").select(name("near"), F.col("b").alias("node"), F.col("near").alias("open"))
-    rows = outer.union(more).union(near).join(nodes.select("node", "n", "rare"), "node")
-    return distinct_lists(written(rows.select("key", "node", "n", "rare", "open"), "lists"))
+def next_lists(found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Written lists of what a later round leaves open; nodes: node, n, rare."""
+    members = written(led.join(found.where("more is not null"), ["a", "b"]).select("key", F.col("b").alias("node"), "linked", "more", "near", "small"), "members")
+    has = written(members.groupBy("key").agg(F.count_if(~F.col("linked")).alias("apart"), F.count("*").alias("c")).where("apart > 0 and c > 1").select("key"), "has")
+    m = written(members.join(has, "key"), "open")
+    outside = m.select("key", "node", (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
+    near = m.where("near or small").select(F.xxhash64("key", F.lit("near")).alias("key"), "node", F.col("near").alias("open"))
+    later = outside.select(F.xxhash64("key", "v").alias("key"), "node", "open").union(near).join(nodes, "node")
+    lists = written(later.select("key", "node", "n", "rare", "open"), "lists")
+    removed(members, has, m)
+    return distinct_lists(lists)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,6 +272,18 @@ def components(links: DataFrame) -> DataFrame:
             return after.select("id", "label")
 
 
+def links_of(found: DataFrame) -> DataFrame:
+    x, y = (F.struct(F.col(f"rid_{k}").alias("rid"), F.col(k).alias("node")) for k in "ab")
+    return written(found.where("linked").select(x.alias("x"), y.alias("y")), "links")
+
+
+def by_leader(led: DataFrame) -> DataFrame:
+    """The lists of one leader as one, written; led is written, and goes."""
+    out = written(led.select(F.col("a").alias("key"), "a", "b").distinct(), "led")
+    removed(led)
+    return out
+
+
 def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Features of each row, and of each class (sig, own, label): its own id, a struct of its smallest doc_id and a hash, and
     the smallest one that it reaches. rows: doc_id, text."""
@@ -268,27 +291,34 @@ def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     real = feats.where("sig is not null and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("sig"))
     classes = written(classes, "classes")
-    first = sketch_lists(classes, percent)
-    rare = written(first.groupBy("node").agg(F.first("rare").alias("rare")), "rare")
-    lists = distinct_lists(written(first.withColumn("open", F.lit(True)), "lists"))
-    wanted = written(lists.select("node").distinct().join(classes.select("sig", "rid", "node"), "node"), "wanted")
-    nodes = written(classes.select("node", "n", "sketch").join(rare, "node").join(wanted.select("node"), "node", "left_semi"), "nodes")
+    pairs, led = candidate_pairs(distinct_lists(sketch_lists(classes, percent)), SMALL)
+    led = by_leader(led)
+    weighed = written(estimated(pairs, classes.select("node", "sketch"), percent), "weighed")
+    likely = weighed.where("likely")
+    active = written(likely.select(F.col("a").alias("node")).union(likely.select("b")).union(led.select("a")).union(led.select("b")).distinct(), "active")
+    wanted = written(classes.select("sig", "rid", "node").join(active, "node"), "wanted")
     sets = written(full_sets(rows, wanted, width), "sets")
-    links = []
-    while True:
-        pairs, led = candidate_pairs(lists)
-        if not links:  # the first lists of one leader are gone on with as one
-            several, led = led, written(led.select(F.col("a").alias("key"), "a", "b").distinct(), "led")
-            removed(several)
-        weighed = written(estimated(pairs, nodes, percent), "weighed")
-        found = written(verified(weighed.where("likely").select("a", "b", "least"), sets, percent), "verified")
-        links.append(written(found.where("linked").select(F.struct(F.col("rid_a").alias("rid"), F.col("a").alias("node")).alias("x"), F.struct(F.col("rid_b").alias("rid"), F.col("b").alias("node")).alias("y")), "links"))
-        lists = next_lists(weighed, found, led, nodes)
-        removed(pairs, led, weighed, found)
-        if lists.isEmpty():
+    found = written(verified(likely.select("a", "b", "least"), sets, percent), "verified")
+    links = [links_of(found)]
+    rest = left_open(weighed, found, led)
+    removed(pairs, led, weighed, active, wanted, found)
+    lists = full_lists(sets.join(rest, "node", "left_semi"), percent)
+    nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
+    lists, small = distinct_lists(lists), SMALL
+    while not lists.isEmpty():
+        pairs, led = candidate_pairs(lists, small)
+        led = by_leader(led) if small == SMALL else led
+        likely = written(estimated(pairs.where("least is null"), classes.select("node", "sketch"), percent).where("likely"), "weighed")
+        found = written(verified(likely.select("a", "b", "least").union(pairs.where("least is not null")), sets, percent), "verified")
+        links.append(links_of(found))
+        done = led.isEmpty()
+        if not done:
+            lists, small = next_lists(found, led, nodes), LATER
+        removed(pairs, led, likely, found)
+        if done:
             break
     labels = components(reduce(DataFrame.union, links))
-    removed(lists, sets, nodes, wanted, rare, first, *links)
+    removed(sets, nodes, rest, *links)
     own = classes.select("sig", F.struct("rid", "node").alias("own"))
     return feats, own.join(labels, own.own == labels.id, "left").select("sig", "own", F.coalesce("label", "own").alias("label"))
 

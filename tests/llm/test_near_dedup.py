@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tessera.llm import near_dedup
-from tessera.llm.near_dedup import SMALL, group, keep_one, overlaps, shared_least
+from tessera.llm.near_dedup import SMALL, group, keep_one, overlaps, sketch_share
 
 
 def brute(rows, width, percent=80):
@@ -55,9 +55,10 @@ def edited(r, base, n):
     return out
 
 
-@pytest.mark.parametrize("seed,length,small", [(1, 120, near_dedup.SMALL), (2, 40, 3)])
+@pytest.mark.parametrize("seed,length,small", [(1, 120, SMALL), (2, 40, 3)])
 def test_groups_of_edited_copies(spark, monkeypatch, seed, length, small):
-    monkeypatch.setattr(near_dedup, "SMALL", small)  # few, so that leaders lead again
+    monkeypatch.setattr(near_dedup, "SMALL", small)  # few, so that leaders lead, and lead again
+    monkeypatch.setattr(near_dedup, "LATER", 4 if small < SMALL else near_dedup.LATER)
     r = random.Random(seed)
     base = words(r, length)
     passage = " ".join(words(r, 30))
@@ -92,12 +93,11 @@ def test_overlaps_and_estimates():
         pool = [r.getrandbits(64) for _ in range(r.randint(1, 140))]
         pairs.append(tuple(sorted(r.sample(pool, r.randint(1, len(pool))))[: near_dedup.SKETCH] for _ in "ab"))
     a, b = (pa.array([np.array(p[i], np.uint64).view(np.int64) for p in pairs], pa.list_(pa.int64())) for i in (0, 1))
-    overlap, estimate, values, alone = overlaps(a, b)
+    overlap, estimate = overlaps(a, b)
     for k, (x, y) in enumerate(pairs):
         union = sorted({*x, *y})[: near_dedup.SKETCH]
         assert overlap[k] == len({*x} & {*y}) and abs(estimate[k] - len({*x} & {*y} & {*union}) / len(union)) < 1e-12
-        assert values[k][alone[k]].tolist() == sorted({*y} - {*x})
-    assert shared_least(np.array([1, 5, 51, 52, 900]), 80).tolist() == [1, 4, 41, 32, 32]
+    assert abs(sketch_share(80) - 0.5) < 1e-9 and abs(sketch_share(80, 2) - 0.25) < 1e-9 and sketch_share(20) == 0
 
 
 def test_one_row_of_each_group_stays(spark):
