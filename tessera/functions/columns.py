@@ -21,18 +21,21 @@ from . import unicode as U
 from .pretokenizers import compile_pre_tokenizer, patterns
 
 
-def _mapped(column: Column | str, kind: str, arrow_kind: pa.DataType, one) -> Column:
+def mapping(kind: str, arrow_kind: pa.DataType, one):
+    """An Arrow function of `one` for each value that isn't null."""
+
     @F.arrow_udf(kind)
     def apply(values: pa.Array) -> pa.Array:
         return pa.array([None if v is None else one(v) for v in values.to_pylist()], arrow_kind)
 
-    return apply(column)
+    return apply
 
 
-def encode(column: Column | str, spec: TokenizerSpec, room: int | None = None, side: str = "right") -> Column:
-    """array<int>: content ids of a text or binary column, without special tokens. room: at most so many, from the start,
-    or from the end if the left is cut; what lies far beyond them isn't worked."""
+def _mapped(column: Column | str, kind: str, arrow_kind: pa.DataType, one) -> Column:
+    return mapping(kind, arrow_kind, one)(column)
+
 
+def encoding(spec: TokenizerSpec, room: int | None = None, side: str = "right"):
     @F.arrow_udf("array<int>")
     def apply(values: pa.Array) -> pa.Array:
         run = spec.runtime
@@ -40,22 +43,35 @@ def encode(column: Column | str, spec: TokenizerSpec, room: int | None = None, s
         found = [b"" if v is None else one(as_text(v)) for v in values.to_pylist()]
         ends = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(x) // ID for x in found], out=ends[1:])
-        ids = pa.py_buffer(b"".join(found))
-        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, ids])
+        flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
         return pa.ListArray.from_arrays(pa.array(ends), flat, mask=values.is_null() if values.null_count else None)
 
-    return apply(column)
+    return apply
+
+
+def encode(column: Column | str, spec: TokenizerSpec, room: int | None = None, side: str = "right") -> Column:
+    """array<int>: content ids of a text or binary column, without special tokens. room: at most so many, from the start,
+    or from the end if the left is cut; what lies far beyond them isn't worked."""
+    return encoding(spec, room, side)(column)
+
+
+def counting(spec: TokenizerSpec):
+    return mapping("bigint", pa.int64(), lambda v: len(spec.runtime.encode_bytes(as_text(v))) // ID)
 
 
 def count_tokens(column: Column | str, spec: TokenizerSpec) -> Column:
     """bigint: number of content ids; only the numbers leave the workers."""
-    return _mapped(column, "bigint", pa.int64(), lambda v: len(spec.runtime.encode_bytes(as_text(v))) // ID)
+    return counting(spec)(column)
 
 
 #: Ids up to this one are named by a literal array of tokens in the plan.
 _NAMED = 1 << 18
 
 
+def naming(spec: TokenizerSpec):
+    return mapping("array<string>", pa.list_(pa.string()), lambda v: spec.runtime.tokens(spec.runtime.encode(as_text(v))))
+
+
 def tokenize(column: Column | str, spec: TokenizerSpec) -> Column:
     """array<string>: the tokens of the content ids. Only ids leave the workers; their names are looked up in an array."""
     runtime = spec.runtime
@@ -63,24 +79,31 @@ def tokenize(column: Column | str, spec: TokenizerSpec) -> Column:
     names = [runtime.id_to_token(i) for i in range(max(ids) + 1)] if max(ids) < _NAMED else []
     apart = next((c for c in "\x00\x01\x02\x1f" if not any(c in (n or "") for n in names)), None)
     if not names or apart is None:
-        return _mapped(column, "array<string>", pa.list_(pa.string()), lambda v: spec.runtime.tokens(spec.runtime.encode(as_text(v))))
+        return naming(spec)(column)
     table = F.split(F.lit(apart.join(n or "" for n in names)), apart, -1)  # folded to one literal
     return F.transform(encode(column, spec), lambda i: F.get(table, i))
 
 
-def normalize(column: Column | str, spec: TokenizerSpec) -> Column:
-    return _mapped(column, "string", pa.string(), lambda v: spec.runtime.normalized(as_text(v)))
+def normalizing(spec: TokenizerSpec):
+    return mapping("string", pa.string(), lambda v: spec.runtime.normalized(as_text(v)))
 
 
-def decode(column: Column | str, spec: TokenizerSpec, skip_special_tokens: bool = False) -> Column:
-    """string: the text of an array of ids; ids that aren't known are left out."""
+def normalize(column: Column | str, spec: TokenizerSpec) -> Column:
+    return normalizing(spec)(column)
+
 
+def decoding(spec: TokenizerSpec, skip_special_tokens: bool = False):
     def one(v):
         if any(i < 0 for i in v):
             raise ValueError("invalid token id")
         return spec.runtime.decode(v, skip_special_tokens)
 
-    return _mapped(column, "string", pa.string(), one)
+    return mapping("string", pa.string(), one)
+
+
+def decode(column: Column | str, spec: TokenizerSpec, skip_special_tokens: bool = False) -> Column:
+    """string: the text of an array of ids; ids that aren't known are left out."""
+    return decoding(spec, skip_special_tokens)(column)
 
 
 def pre_tokenize(column: Column | str, definition: dict | None, native: bool = False) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.spec import Template, room_for_content
+from tessera.session import stored
 
 _SIDES = ("right", "left")
 
@@ -80,7 +81,8 @@ def assemble(
     """df with input_ids and the masks, array<bigint> each, in place of the content ids.
 
     The longest row of a named batch comes from a window over the batch; of all rows, from an aggregate of lengths that
-    is joined as one row. Nothing else moves a row."""
+    is joined as one row. There the ids are stored in the shared folder first, so that texts are encoded once and the
+    aggregate reads lengths only. Nothing else moves a row."""
     used = template if special else Template()
     room = room_for_content(used, max_length) if truncation else None
     cut = df.withColumn("content_", truncated(F.col(content), room, truncation_side))
@@ -97,8 +99,9 @@ def assemble(
     elif padding.batch:
         sized = cut.withColumn("width_", rounded_up(F.max(n).over(Window.partitionBy(*padding.batch)), padding.multiple_of))
     else:
-        longest = cut.agg(F.coalesce(F.max(n), F.lit(0)).alias("longest_"))
-        sized = cut.crossJoin(F.broadcast(longest)).withColumn("width_", rounded_up(F.col("longest_"), padding.multiple_of)).drop("longest_")  # one row
+        cut = stored(cut.withColumn("n_", n), "rows")
+        longest = cut.agg(F.coalesce(F.max("n_"), F.lit(0)).alias("longest_"))
+        sized = cut.crossJoin(F.broadcast(longest)).withColumn("width_", rounded_up(F.col("longest_"), padding.multiple_of)).drop("longest_", "n_")  # one row
     side, fill = (padding.side, padding.pad_id) if padding else ("right", 0)
     width, length = F.col("width_"), F.size("content_")
 

@@ -19,9 +19,10 @@ from tessera.operators import vocabulary
 from tessera.operators.assemble import Padding, assemble, exploded, row_ids
 from tessera.plans import distinct_words
 from tessera.plans.spec import Template, TokenizerSpec, room_for_content
-from tessera.session import ship, spread
+from tessera.session import fresh_folder, ship, spread
 from tessera.sources.definitions import definition_from_vocab
-from tessera.sources.files import extract_field_column, framed, lossy_utf8
+from tessera.sources.files import JsonLines, TextFiles, extract_field_column, framed, lossy_utf8, read_documents
+from tessera.tokenizer import Tokenizer
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,11 +120,24 @@ def normalize_bert(spark, folder):
     return table(spark, folder, "documents").select("doc_id", columns.normalize("text", spec()).alias("norm"))
 
 
-@query()
-def normalize_nfkc_lower(spark, folder):
-    steps = [dict(type=t) for t in ("NFKC", "Lowercase", "StripAccents")]
-    other = TokenizerSpec(_with(normalizer={"type": "Sequence", "normalizers": steps}))
-    return table(spark, folder, "documents").select("doc_id", columns.normalize("text", other).alias("norm"))
+def _normalized(*steps: str) -> Query:
+    def run(spark, folder):
+        other = TokenizerSpec(_with(normalizer={"type": "Sequence", "normalizers": [dict(type=t) for t in steps]}))
+        return table(spark, folder, "documents").select("doc_id", columns.normalize("text", other).alias("norm"))
+
+    return run
+
+
+# the texts hold no characters that only compatibility forms change, and marks only in letters that NFD takes apart
+for _name, _steps, _sql in [
+    ("normalize_nfc", ["NFC"], "nfc_normalize(text)"),
+    ("normalize_nfd_nfc", ["NFD", "NFC"], "nfc_normalize(text)"),
+    ("normalize_lowercase", ["Lowercase"], "lower(text)"),
+    ("normalize_nfd_strip", ["NFD", "StripAccents"], "strip_accents(text)"),
+    ("normalize_nfkd_strip", ["NFKD", "StripAccents", "Lowercase"], "lower(strip_accents(text))"),
+    ("normalize_nfkc_lower", ["NFKC", "Lowercase", "StripAccents"], "lower(nfc_normalize(text))"),
+]:
+    QUERIES[_name], SQL[_name] = _normalized(*_steps), f"SELECT doc_id, {_sql} AS norm FROM documents"
 
 
 def _with(**parts) -> str:
@@ -380,3 +394,69 @@ def text_separator_docs(spark, folder):
 def lossy_utf8_docs(spark, folder):
     spoilt = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))
     return table(spark, folder, "documents").select("doc_id", lossy_utf8(spoilt).alias("text"))
+
+
+@query("SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9_]+')) AS w) WHERE w = 'the') AS n_the FROM documents")
+def added_tokens_single_word(spark, folder):
+    """A token that is looked for in normalized texts, as a word of its own, with the blanks around it."""
+    number = 1_000_000
+    token = {"id": number, "content": "The", "single_word": True, "lstrip": True, "rstrip": True, "normalized": True, "special": False}
+    other = TokenizerSpec(_with(added_tokens=[token]))
+    ids = table(spark, folder, "documents").select("doc_id", columns.encode("text", other).alias("ids"))
+    return ids.select("doc_id", F.size(F.filter("ids", lambda i: i == number)).cast("bigint").alias("n_the"))
+
+
+# files: documents are written out and read back
+
+
+def _marked(spark, folder, text: str | Column = "text") -> DataFrame:
+    """Documents with their id in front."""
+    return table(spark, folder, "documents").select(F.concat_ws(" ", F.col("doc_id").cast("string"), text).alias("text"))
+
+
+def _unmarked(df: DataFrame) -> DataFrame:
+    cut = F.split("text", " ", 2)
+    return df.select(cut[0].cast("bigint").alias("doc_id"), cut[1].alias("text"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def read_text_files(spark, folder):
+    path, sep = fresh_folder(spark, "files"), "<|endoftext|>"
+    _marked(spark, folder).write.option("lineSep", sep).text(path)
+    return _unmarked(read_documents(spark, TextFiles(path, sep)))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\n+', ' ', 'g') AS text FROM documents")
+def read_text_files_bordered(spark, folder):
+    path, sep = fresh_folder(spark, "files"), "\n\n"
+    _marked(spark, folder, F.regexp_replace("text", r"\n+", " ")).write.option("lineSep", sep).text(path)
+    return _unmarked(read_documents(spark, TextFiles(path, sep)))
+
+
+@query("SELECT item_id, text || chr(10) AS text FROM benchmark")
+def read_whole_files(spark, folder):
+    path = fresh_folder(spark, "files")
+    table(spark, folder, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    return read_documents(spark, path).select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), "text")
+
+
+@query("SELECT doc_id, text FROM documents")
+def read_jsonl_files(spark, folder):
+    path = fresh_folder(spark, "files")
+    _marked(spark, folder).select(F.lit(1).alias("other"), F.col("text").alias("body"), F.struct("text").alias("meta")).write.json(path)
+    return _unmarked(read_documents(spark, JsonLines(path, "body")))
+
+
+@query(f"{_rows_sql('documents', 'doc_id')} SELECT CAST(count(*) AS BIGINT) AS n_ids, CAST(sum(token_id) AS BIGINT) AS id_sum FROM rows_ GROUP BY doc_id")
+def encode_files(spark, folder):
+    """Ids of each document of JSON Lines files; the reader knows no doc_id, so a row tells a document by its ids alone."""
+    path = fresh_folder(spark, "files")
+    table(spark, folder, "documents").select("text").write.json(path)
+    ids = Tokenizer(spec()).encode_files(spark, JsonLines(path)).select("ids")
+    return ids.select(F.size("ids").cast("bigint").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+@query("WITH cut AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS w FROM documents) SELECT doc_id, count(*) AS n_chunks FROM cut GROUP BY doc_id")
+def chunk_counts(spark, folder):
+    """The chunks that texts are cut into before they are looked up."""
+    return table(spark, folder, "documents").select("doc_id", F.size(distinct_words.chunks("text")).cast("bigint").alias("n_chunks")).where("n_chunks > 0")

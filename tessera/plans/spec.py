@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -22,7 +23,8 @@ _CHUNKS = re.compile(r"[^ \t\n\r]+")
 #: What str.split() parts at as well: some of it is no white space here, some vanishes in normalizing.
 _OTHER_BLANKS = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-DEFAULT_MEMO = 1 << 19
+#: Entries of a memo where a tokenizer sets none of its own.
+DEFAULT_MEMO = int(os.environ.get("TESSERA_MEMO_ENTRIES") or 1 << 19)
 #: Bytes of an id, characters of the longest piece that is kept in the memo, and of a text that is worked at once.
 ID, KEPT, AT_ONCE = 4, 64, 1 << 20
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -42,6 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; nothing is there yet."""
+    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df, written to the shared folder and read back."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df dealt out over all cores if it comes in fewer partitions than there are, as from one small file. Larger inputs,
     of which there are more parts than cores, stay where they are."""

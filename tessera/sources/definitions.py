@@ -63,19 +63,31 @@ def _from_folder(folder: Path, definition: Path | None = None) -> TokenizerSpec:
     return TokenizerSpec(definition_from_vocab(read_vocab(folder / "vocab.txt"), **names, lowercase=config.get("do_lower_case", True) is not False), config)
 
 
-def load(source: Any) -> TokenizerSpec:
-    """A definition from a path, a folder, a live tokenizer object, or as it is. Hub names need files on this disk."""
+def cached_folder(name: str, revision: str = "main") -> Path | None:
+    """The folder of a model name in the hub's local cache, if it is there; nothing is fetched."""
+    home = Path(os.environ.get("HF_HOME", Path.home() / ".cache" / "huggingface"))
+    model = Path(os.environ.get("HF_HUB_CACHE", home / "hub")) / f"models--{name.replace('/', '--')}"
+    named = model / "refs" / revision
+    folder = model / "snapshots" / (named.read_text().strip() if named.is_file() else revision)
+    return folder if folder.is_dir() else None
+
+
+def load(source: Any, revision: str = "main") -> TokenizerSpec:
+    """A definition from a path, a folder, a model name in the local hub cache, a live tokenizer object, or as it is."""
     if isinstance(source, TokenizerSpec):
         return source
     if isinstance(source, (str, os.PathLike)):
-        path = Path(source)
+        path = Path(source).expanduser()
         if path.is_file():
             if path.suffix == ".txt":
                 return TokenizerSpec(definition_from_vocab(read_vocab(path)))
             return _from_folder(path.parent, path)
         if path.is_dir():
             return _from_folder(path)
-        raise FileNotFoundError(f"{source}: no such file or folder, and definitions are not fetched from a network")
+        name = os.fspath(source)
+        if name.count("/") <= 1 and not name.startswith((".", "/", "~")) and (held := cached_folder(name, revision)):
+            return _from_folder(held)
+        raise FileNotFoundError(f"{source}: no such file, folder or name in the local cache, and nothing is fetched from a network")
     if hasattr(source, "backend_tokenizer"):
         config = {k: getattr(source, k) for k in SETTINGS if hasattr(source, k)}
         config |= {k: str(v) for k in NAMED if (v := getattr(source, k, None)) is not None}

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 from typing import Any
@@ -109,11 +110,16 @@ def extract_field(line: str | bytes, field: str = "text") -> str:
     for key, value in found:
         if key == field:
             if isinstance(value, str):
+                if _SURROGATE.search(value):
+                    raise ValueError(f"invalid JSONL line (half a surrogate pair): {shown}")
                 return value
             raise ValueError(f"invalid JSONL line ({field!r} is no string): {shown}")
     raise ValueError(f"no string field {field!r} in JSONL line: {shown}")
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 class _Pairs(list):
     pass
 

@@ -32,8 +32,8 @@ def round_up(n: int, multiple: int | None) -> int:
 class Tokenizer:
     """A WordPiece tokenizer from a tokenizer.json, a vocab.txt, a folder of them or a live tokenizer object."""
 
-    def __init__(self, source):
-        self.spec: TokenizerSpec = source.spec if isinstance(source, Tokenizer) else definitions.load(source)
+    def __init__(self, source, *, revision: str = "main"):
+        self.spec: TokenizerSpec = source.spec if isinstance(source, Tokenizer) else definitions.load(source, revision)
         _ = self.runtime  # a definition that can't be run is refused here
 
     @classmethod
@@ -50,6 +50,11 @@ class Tokenizer:
     def runtime(self) -> Runtime:
         return self.spec.runtime
 
+    @property
+    def backend(self) -> Runtime:
+        """What encodes and decodes single texts."""
+        return self.runtime
+
     @property
     def config(self) -> Mapping:
         return self.spec.config
@@ -87,12 +92,12 @@ class Tokenizer:
     def id_to_token(self, id: int) -> str | None:
         return self.runtime.id_to_token(id)
 
-    # local calls
+    # local calls; parallel is taken for the sake of callers that name it: one process works local texts, Spark large ones
 
     def encode(self, text, *, add_special_tokens=True) -> np.ndarray:
         return np.array(self.runtime.assembled(self.runtime.encode(as_text(text)), add_special_tokens), np.uint32)
 
-    def encode_batch_list(self, texts: Iterable, *, add_special_tokens=True, max_length=None, truncation_side="right") -> list[list[int]]:
+    def encode_batch_list(self, texts: Iterable, *, add_special_tokens=True, max_length=None, truncation_side="right", parallel: bool | None = None) -> list[list[int]]:
         texts = checked_texts(texts)
         room_for_content(self.template if add_special_tokens else Template(), max_length)
         return [self.runtime.assembled(self.runtime.encode(t), add_special_tokens, max_length, truncation_side) for t in texts]
@@ -125,7 +130,7 @@ class Tokenizer:
                 out[name].append(values + [fill] * rest if side == "right" else [fill] * rest + values)
         return out
 
-    def encode_batch_padded(self, texts, *, padding="longest", truncation=True, max_length=None, **options) -> dict[str, np.ndarray]:
+    def encode_batch_padded(self, texts, *, padding="longest", truncation=True, max_length=None, parallel: bool | None = None, **options) -> dict[str, np.ndarray]:
         """Rectangular int64 arrays. options: pad_to_multiple_of, padding_side, truncation_side, add_special_tokens, and
         return_attention_mask, return_token_type_ids, return_special_tokens_mask."""
         known = {"pad_to_multiple_of": None, "padding_side": "right", "truncation_side": "right", "add_special_tokens": True, "return_attention_mask": True, "return_token_type_ids": True, "return_special_tokens_mask": False}
@@ -197,11 +202,19 @@ class Tokenizer:
         renamed = {"add_special_tokens": "special", "return_attention_mask": "attention_mask", "return_token_type_ids": "token_type_ids", "return_special_tokens_mask": "special_tokens_mask", "truncation_side": "truncation_side"}
         return assemble(df.withColumn("ids_", columns.encode(text, self.spec)), self.template, "ids_", max_length=max_length, truncation=truncation, padding=pad, **{renamed[k]: v for k, v in options.items()})
 
-    def encode_files(self, spark: SparkSession, source, *, add_special_tokens=True) -> DataFrame:
+    def encode_files(self, spark: SparkSession, source, *, add_special_tokens=True, parallel: bool | None = None) -> DataFrame:
         """path, doc_index, ids of the documents in files; order by both for the order of the files."""
         ship(spark)
         return read_documents(spark, source).select("path", "doc_index", self.encode_column("text", add_special_tokens=add_special_tokens).alias("ids"))
 
+    def register(self, spark: SparkSession, prefix: str = "") -> None:
+        """SQL functions <prefix>encode, count_tokens, tokenize, normalize_text and decode, and the table function
+        <prefix>tokens(text) with pos, token_id and token."""
+        from tessera.functions.sql import register
+
+        ship(spark)
+        register(spark, self.spec, prefix)
+
     def vocab_frame(self, spark: SparkSession, with_added_tokens: bool = True) -> DataFrame:
         return vocabulary.vocabulary(spark, self.spec, with_added_tokens)
 

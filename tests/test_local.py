@@ -218,3 +218,34 @@ def test_cuts_and_memos_never_change_ids():
         assert list(memoryview(run.encode_some(long, room)).cast("i")) == whole[:room]
         assert list(memoryview(run.encode_some(long, room, "left")).cast("i")) == whole[-room:]
     assert len(plain._chunks) <= 1
+
+
+def test_names_in_the_local_cache(tmp_path, monkeypatch):
+    from tessera import Tokenizer
+    from tessera.plans.queries import spec
+
+    monkeypatch.setenv("HF_HUB_CACHE", str(tmp_path))
+    model = tmp_path / "models--some--model"
+    (model / "refs").mkdir(parents=True)
+    (model / "refs" / "main").write_text("abc\n")
+    for snapshot in ("abc", "def"):
+        (model / "snapshots" / snapshot).mkdir(parents=True)
+        (model / "snapshots" / snapshot / "tokenizer.json").write_text(spec().text)
+    (model / "snapshots" / "def" / "tokenizer_config.json").write_text('{"model_max_length": 7}')
+    assert Tokenizer("some/model").config == {} and Tokenizer("some/model", revision="def").config == {"model_max_length": 7}
+    for name in ("some/other", "a/b/c", "./some/model"):
+        with pytest.raises(FileNotFoundError):
+            Tokenizer(name)
+    tok = Tokenizer("some/model")
+    for parallel in (None, True, False):
+        assert tok.encode_batch(["the", "of"], parallel=parallel).to_list() == tok.encode_batch_list(["the", "of"], parallel=parallel)
+        assert tok.encode_batch_padded(["the", "of the"], parallel=parallel)["input_ids"].shape == (2, 4)
+    assert tok.backend is tok.runtime
+
+
+def test_half_a_surrogate_pair_is_no_string():
+    from tessera.sources.files import extract_field
+
+    with pytest.raises(ValueError, match="invalid JSONL line"):
+        extract_field('{"text": "\\ud800"}')
+    assert extract_field('{"text": "\\ud83d\\ude42"}') == "🙂"

@@ -177,3 +177,22 @@ def test_entry(spark):
     found, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(found) and len(found) > 40
     assert entry.entry(spark).columns == ["lang", "n_docs", "n_tokens"]
+
+
+def test_sql_functions(spark, docs, tok):
+    tok.register(spark, "t_")
+    docs.createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT id, text, t_encode(text) AS ids, t_count_tokens(text) AS n, t_tokenize(text) AS tokens, t_normalize_text(text) AS norm, t_decode(t_encode(text)) AS back FROM texts").collect()
+    for r in rows:
+        want = None if r.text is None else tok.runtime.encode(r.text)
+        assert r.ids == want and (r.n is None if want is None else r.n == len(want))
+        if want is not None:
+            assert (r.tokens, r.norm, r.back) == (tok.tokenize(r.text), tok.runtime.normalize(r.text), tok.decode(want))
+    one = spark.sql("SELECT id, pos, token_id, token FROM texts, LATERAL t_tokens(text) WHERE id < 9 OR id = 9999 ORDER BY id, pos").collect()
+    assert [(r.id, r.pos, r.token_id, r.token) for r in one] == [(i, p, n, tok.id_to_token(n)) for i in range(9) for p, n in enumerate(tok.runtime.encode(ALL[i]))]
+
+
+def test_longest_padding_reads_stored_ids(docs, tok):
+    rows = docs.where("text is not null").withColumn("ids", columns.encode("text", tok.spec))
+    plan = assemble(rows, tok.template, padding=Padding())._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan  # the texts are encoded once, into a stored table
