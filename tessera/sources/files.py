@@ -78,8 +78,10 @@ def read_text(spark: SparkSession, source: TextFiles) -> DataFrame:
     sep = source.separator.decode() if isinstance(source.separator, bytes) else source.separator
     paths = _paths(source.paths)
     path = F.col("_metadata.file_path").alias("path")
+    if sep is not None and len(sep) > 1 and len(set(sep)) == 1:
+        return _read_runs(spark, paths, sep)
     if sep is None or has_border(sep):
-        # whole files; a bordered separator must be looked for from the file's start
+        # whole files; other bordered separators, as "abab", must be looked for from the file's start
         files = _checked(lambda: spark.read.format("binaryFile").load(paths)).select(F.col("path"), lossy_utf8("content").alias("text")).where(F.length("text") > 0)
         if sep is None:
             return files.select("path", F.lit(0).cast("bigint").alias("doc_index"), "text")
@@ -88,6 +90,62 @@ def read_text(spark: SparkSession, source: TextFiles) -> DataFrame:
     return _numbered(lines.select(path, lossy_utf8("value").alias("text"), F.col("_metadata.file_block_start").alias("block")))
 
 
+def _read_runs(spark: SparkSession, paths: list[str], sep: str) -> DataFrame:
+    """read_text() for a separator that is one character k times, as "\\n\\n": input splits are read in parallel.
+
+    Lines are read that the character, the mark, ends. A run of m marks holds m div k separators from its start, and the
+    m mod k marks left begin what follows. So each line that isn't empty needs the number of marks before it, and the
+    separators so far: both are counted in each split, and what stands before a split comes from a row for each split.
+    Lines then meet as documents by their number in the file, in the one shuffle of texts."""
+    mark, k = sep[0], len(sep)
+    ship(spark)
+    read = _checked(lambda: spark.read.option("lineSep", mark).text(paths))
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    splits = read.select(*place, F.octet_length("value").alias("bytes"), F.col("_metadata.file_size").alias("size")).groupBy("path", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
+
+    def scan(batches):
+        at, last, seps = None, None, 0
+        for batch in batches:
+            path, block, row, value = (batch.column(c).to_pylist() for c in ("path", "block", "row", "value"))
+            out = []
+            for p, b, r, v in zip(path, block, row, value):
+                if (p, b) != at:
+                    at, last, seps = (p, b), None, 0
+                if v:
+                    if last is not None:
+                        seps += (r - last) // k
+                    out.append((p, b, r, last, seps, v))
+                    last = r
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["path", "block", "row", "before", "seps", "text"])
+
+    full = read.select(*place, lossy_utf8("value").alias("value")).mapInArrow(scan, "path string, block bigint, row bigint, before bigint, seps bigint, text string")
+    ends = full.groupBy("path", "block").agg(F.min("row").alias("first_full"), F.max("row").alias("last_full"), F.max("seps").alias("own_seps"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("path")
+    # a row for each split: where it starts, the last line before it that isn't empty, and the separators before it
+    splits = splits.join(ends, ["path", "block"], "left").withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    splits = splits.withColumn("shift", F.col("start") - F.col("first")).withColumn("full_before", F.max(F.col("last_full") + F.col("shift")).over(earlier))
+    marks = F.col("first_full") + F.col("shift") - F.coalesce("full_before", F.lit(0))
+    splits = splits.withColumn("first_seps", F.floor(marks / k)).withColumn("seps_before", F.coalesce(F.sum(F.col("first_seps") + F.col("own_seps")).over(earlier), F.lit(0)))
+    lines = full.join(splits.select("path", "block", "shift", "full_before", "first_seps", "seps_before"), ["path", "block"])
+    before = F.coalesce(F.col("before") + F.col("shift"), F.col("full_before"))
+    lines = lines.select("path", (F.col("row") + F.col("shift")).alias("line"), before.alias("before"), (F.col("seps_before") + F.col("first_seps") + F.col("seps")).alias("doc_index"), "text")
+    # what follows the last line of a file that isn't empty, as a line of its own
+    spare = F.max("size").over(whole) - F.sum("bytes").over(whole) - F.sum("n").over(whole) * len(mark.encode())  # 3 more where the file begins with a byte order mark
+    total = F.sum("n").over(whole) - F.when(spare.isin(0, 3), 0).otherwise(1)
+    ended = splits.select("path", total.alias("line"), F.max(F.col("last_full") + F.col("shift")).over(whole).alias("before"), F.coalesce(F.sum(F.col("first_seps") + F.col("own_seps")).over(whole), F.lit(0)).alias("seps")).distinct()
+    tails = ended.select("path", "line", "before", (F.col("seps") + F.floor((F.col("line") - F.coalesce("before", F.lit(0))) / k)).alias("doc_index"), F.lit("").alias("text"))
+    rows = lines.unionByName(tails).withColumn("marks", F.col("line") - F.coalesce("before", F.lit(0)))
+    found = F.floor(F.col("marks") / k)
+    pieces = rows.select("path", "doc_index", "line", F.concat(F.repeat(F.lit(mark), (F.col("marks") % k).cast("int")), "text").alias("piece")).where("piece <> ''")
+    texts = pieces.groupBy("path", "doc_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "piece"))), lambda x: x["piece"]), "").alias("text"))
+    first_empty = F.col("doc_index") - found + F.when(F.col("before").isNull(), 0).otherwise(1)
+    empty = rows.where(first_empty < F.col("doc_index")).select("path", F.explode(F.sequence(first_empty, F.col("doc_index") - 1)).alias("doc_index"), F.lit("").alias("text"))
+    return texts.unionByName(empty)
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """doc_index from the order of rows in their split and the splits before it; no sort of a whole file's texts: the
     window below sees a row per split, and each row's own place comes from its partition."""

@@ -196,3 +196,35 @@ def test_longest_padding_reads_stored_ids(docs, tok):
     rows = docs.where("text is not null").withColumn("ids", columns.encode("text", tok.spec))
     plan = assemble(rows, tok.template, padding=Padding())._jdf.queryExecution().toString()
     assert "ArrowEvalPython" not in plan  # the texts are encoded once, into a stored table
+
+
+@pytest.mark.parametrize("separator", ["\n\n", "\n\n\n", "=="])
+def test_runs_of_one_character_are_read_in_splits(spark, tmp_path, separator):
+    import random
+
+    r, mark = random.Random(1), separator[0]
+    held = {}
+    for i in range(25):
+        parts = [r.choice(["", mark, mark * 2, mark * 3, mark * 5, "a", "bc é", " x", "longer words here 中"]) for _ in range(r.randint(0, 60))]
+        held[f"f{i:02d}"] = "".join(parts)
+    held |= {"g0": "", "g1": mark, "g2": separator, "g3": separator + mark, "g4": "end" + mark, "g5": "end" + separator, "g6": separator * 3 + "x", "g7": "\ufeffbom" + separator + "x", "g8": mark * 400 + "z" + mark * 401}
+    for name, text in held.items():
+        (tmp_path / name).write_text(text, encoding="utf-8", newline="")
+    (tmp_path / "h0").write_bytes(b"\xc3" + separator.encode() + b"ok\xff")
+    want = {}
+    for name, text in [*held.items(), ("h0", "\ufffd" + separator + "ok\ufffd")]:
+        parts = text.removeprefix("\ufeff").split(separator)
+        want[name] = parts[:-1] if parts[-1] == "" else parts
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "37b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        df = read_documents(spark, TextFiles(tmp_path, separator))
+        assert "binaryFile" not in df._jdf.queryExecution().toString()
+        got = {}
+        for x in df.orderBy("path", "doc_index").collect():
+            got.setdefault(x.path.rsplit("/", 1)[1], []).append((x.doc_index, x.text))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, parts in want.items():
+        assert got.get(name, []) == list(enumerate(parts)), name
