@@ -18,14 +18,16 @@ its sketch the SKETCH lowest of them, which it retains. Documents with the same
 5. What leaders leave open: classes x and y of a list may be linked though y isn't linked to its leader l. If x is linked
    to l, y has a similarity of 2t - 1 to l at least, since 1 - similarity is a metric. So only classes go on that aren't
    linked to l, and those that are where a list holds such a y. These few are listed under the rarest shingles of their
-   full sets, which part them better than retained values do; again short lists (of LATER, once leaders have been tried)
-   give their pairs, to be estimated and verified, and long ones a leader's, to be verified.
+   full sets, which part them better than retained values do; again short lists give their
+   pairs, to be estimated and verified, and long ones a leader's, to be verified. What a leader leaves gives its pairs if
+   it is LATER classes at most: those with a class that isn't linked to the leader. Else it is parted.
    Sets differ by D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing
    outside l, D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as D(l, y) > b(|l|+|y|), that is no link
    unless |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l part a list into lists, again
    only as many of each class as a link needs, and one more list holds the smaller sets and the few y so near to l. Only
-   lists with a class that isn't linked to l go on. This repeats until none is left; a list never holds the leader of
-   the one it comes from, and copies of one text fall apart by their own changes.
+   lists with a class that isn't linked to l go on; those that come from one list and have the same leader go on as one.
+   This repeats until none is left; a list never holds the leaders of those it comes from, and copies of one text fall
+   apart by their own changes.
 
 Links go through label propagation with pointer jumping, in tables; nothing about documents reaches the driver but the
 numbers of rows left. Every table that is used again is written to the shared folder, and deleted once all that reads it
@@ -51,8 +53,8 @@ from pyspark.sql import functions as F
 from ._common import bitmap, integer_id, mapped, may_hold, pieces, removed, written
 
 SKETCH = 64
-#: Most classes of a list that gives all its pairs: at first, and of the lists that leaders leave.
-SMALL, LATER = 8, 128
+#: Most classes of a list that gives all its pairs, and of what a leader leaves of one, which then isn't parted again.
+SMALL, LATER = 8, 512
 _U = np.uint64
 
 
@@ -112,7 +114,7 @@ def sketch_share(percent: int, links: int = 1) -> float:
 
 
 def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) -> DataFrame:
-    """Written lists (key, node, n, rare): each class under the rarest of its values, by band of size; rare: how many of them
+    """Written lists (key, parent, node, n, rare, open, whole): each class under the rarest of its values, by band of size; rare: how many of them
     no other class has. values: node, v; sizes: node, n, and m, the number of its values; least: SQL for the number of
     values that a similar set shares, from n."""
     shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
@@ -122,7 +124,7 @@ def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) ->
     room = (F.size("held") - F.expr(least) + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
     kept = rows.where(room > 0).select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), room)).alias("x"))
-    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"), F.lit(True).alias("open")), "lists")
+    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"), F.lit(0).cast("bigint").alias("parent"), F.lit(True).alias("open"), F.lit(False).alias("whole")), "lists")
     removed(shared)
     return lists
 
@@ -139,7 +141,7 @@ def full_lists(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def distinct_lists(lists: DataFrame) -> DataFrame:
-    """Written lists (key, node, n, rare, open) of two or more, some open; one of those that hold the same. lists is
+    """Written lists (key, parent, node, n, rare, open, whole) of two or more, some open; one of those that hold the same. lists is
     written, and goes."""
     row = F.xxhash64("node", "open")
     marks = lists.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y"), F.max("open").alias("o")).where("c > 1 and o")
@@ -149,17 +151,17 @@ def distinct_lists(lists: DataFrame) -> DataFrame:
     return found
 
 
-def candidate_pairs(lists: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written (a, b, least): the pairs of short lists (least null) and those of leaders a, with the smallest size of a
-    list; and (key, a, b): the lists that have leaders. lists is written, and goes."""
+    list; and (key, a, b): the lists that have leaders, those of one parent and leader as one. lists is written, and goes."""
     sizes = written(lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least")), "sizes")
-    rows = written(lists.join(sizes, "key").select("key", "node", "open", "size", F.col("lead.node").alias("a"), "least"), "rows")
-    short = rows.where(F.col("size") <= small)
+    rows = written(lists.join(sizes, "key").select("key", "parent", "node", "open", (F.col("whole") | (F.col("size") <= SMALL)).alias("short"), F.col("lead.node").alias("a"), "least"), "rows")
+    short = rows.where("short")
     other = short.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
     pairs = short.select("key", "node", "open").join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b", F.lit(None).cast("bigint").alias("least"))
-    leads = rows.where((F.col("size") > small) & (F.col("a") != F.col("node"))).select("key", "a", F.col("node").alias("b"), "least")
+    leads = rows.where("not short and a <> node").select("parent", "a", F.col("node").alias("b"), "least")
     both = written(pairs.union(leads.select("a", "b", "least")).groupBy("a", "b").agg(F.min("least").alias("least")), "pairs")
-    led = written(leads.select("key", "a", "b"), "led")
+    led = written(leads.select(F.xxhash64("parent", "a").alias("key"), "a", "b").distinct(), "led")
     removed(sizes, rows, lists)
     return both, led
 
@@ -247,12 +249,13 @@ def left_open(weighed: DataFrame, found: DataFrame, led: DataFrame) -> DataFrame
 def next_lists(found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
     """Written lists of what a later round leaves open; nodes: node, n, rare."""
     members = written(led.join(found.where("more is not null"), ["a", "b"]).select("key", F.col("b").alias("node"), "linked", "more", "near", "small"), "members")
-    has = written(members.groupBy("key").agg(F.count_if(~F.col("linked")).alias("apart"), F.count("*").alias("c")).where("apart > 0 and c > 1").select("key"), "has")
-    m = written(members.join(has, "key"), "open")
-    outside = m.select("key", "node", (~F.col("linked")).alias("open"), F.explode("more").alias("v"))
-    near = m.where("near or small").select(F.xxhash64("key", F.lit("near")).alias("key"), "node", F.col("near").alias("open"))
-    later = outside.select(F.xxhash64("key", "v").alias("key"), "node", "open").union(near).join(nodes, "node")
-    lists = written(later.select("key", "node", "n", "rare", "open"), "lists")
+    has = written(members.groupBy("key").agg(F.count_if(~F.col("linked")).alias("apart"), F.count("*").alias("c")).where("apart > 0 and c > 1").select("key", "c"), "has")
+    m = written(members.join(has, "key").withColumns({"parent": F.col("key"), "open": ~F.col("linked")}), "open")
+    whole = m.where(F.col("c") <= LATER).select("key", "parent", "node", "open", F.lit(True).alias("whole"))
+    many = m.where(F.col("c") > LATER)
+    outside = many.select("parent", "node", "open", F.explode("more").alias("v")).select(F.xxhash64("parent", "v").alias("key"), "parent", "node", "open", F.lit(False).alias("whole"))
+    near = many.where("near or small").select(F.xxhash64("parent", F.lit("near")).alias("key"), "parent", "node", F.col("near").alias("open"), F.lit(False).alias("whole"))
+    lists = written(whole.union(outside).union(near).join(nodes, "node").select("key", "parent", "node", "n", "rare", "open", "whole"), "lists")
     removed(members, has, m)
     return distinct_lists(lists)
 
@@ -277,13 +280,6 @@ def links_of(found: DataFrame) -> DataFrame:
     return written(found.where("linked").select(x.alias("x"), y.alias("y")), "links")
 
 
-def by_leader(led: DataFrame) -> DataFrame:
-    """The lists of one leader as one, written; led is written, and goes."""
-    out = written(led.select(F.col("a").alias("key"), "a", "b").distinct(), "led")
-    removed(led)
-    return out
-
-
 def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Features of each row, and of each class (sig, own, label): its own id, a struct of its smallest doc_id and a hash, and
     the smallest one that it reaches. rows: doc_id, text."""
@@ -291,8 +287,7 @@ def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     real = feats.where("sig is not null and doc_id is not null")
     classes = real.groupBy("sig").agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.xxhash64("sig"))
     classes = written(classes, "classes")
-    pairs, led = candidate_pairs(distinct_lists(sketch_lists(classes, percent)), SMALL)
-    led = by_leader(led)
+    pairs, led = candidate_pairs(distinct_lists(sketch_lists(classes, percent)))
     weighed = written(estimated(pairs, classes.select("node", "sketch"), percent), "weighed")
     likely = weighed.where("likely")
     active = written(likely.select(F.col("a").alias("node")).union(likely.select("b")).union(led.select("a")).union(led.select("b")).distinct(), "active")
@@ -304,16 +299,15 @@ def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     removed(pairs, led, weighed, active, wanted, found)
     lists = full_lists(sets.join(rest, "node", "left_semi"), percent)
     nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
-    lists, small = distinct_lists(lists), SMALL
+    lists = distinct_lists(lists)
     while not lists.isEmpty():
-        pairs, led = candidate_pairs(lists, small)
-        led = by_leader(led) if small == SMALL else led
+        pairs, led = candidate_pairs(lists)
         likely = written(estimated(pairs.where("least is null"), classes.select("node", "sketch"), percent).where("likely"), "weighed")
         found = written(verified(likely.select("a", "b", "least").union(pairs.where("least is not null")), sets, percent), "verified")
         links.append(links_of(found))
         done = led.isEmpty()
         if not done:
-            lists, small = next_lists(found, led, nodes), LATER
+            lists = next_lists(found, led, nodes)
         removed(pairs, led, likely, found)
         if done:
             break
