@@ -195,7 +195,8 @@ def met_lines(found: DataFrame, templates: DataFrame) -> DataFrame:
     """(a, b), both ways, of the lines of split leaves that meet; found: own, tokens, parts; templates: template, first."""
     tokens = found.select("own", "tokens")
     shared = found.select("own", F.explode("parts").alias("part")).join(templates.select(F.col("template").alias("own"), "first"), "own")
-    leaders = shared.groupBy("part").agg(F.min(F.struct("first", "own")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    shared = written(shared, "shared")
+    leaders = written(shared.groupBy("part").agg(F.min(F.struct("first", "own")).alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
     shared = written(shared.join(leaders, "part").select("part", "own", F.col("leader.own").alias("leader")), "parts")
     first = written(that_meet(shared.where("own <> leader").select(F.col("leader").alias("a"), F.col("own").alias("b")).distinct(), tokens), "meet")
     others = shared.where("own <> leader")
