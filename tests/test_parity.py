@@ -60,8 +60,8 @@ def test_added_token_flags(flags):
 
 def test_plain_added_tokens():
     ids = dict(BASE["model"]["vocab"])
-    more = [{"id": ids.setdefault(c, len(ids)), "content": c, "special": c[0] == "<", "normalized": c[0] != "<", "single_word": False, "lstrip": False, "rstrip": False} for c in ["hello world", "Straße", "中文", "##ly", "<ent>"]]
-    same(variant(added_tokens=BASE["added_tokens"] + more), [*ALL, "Hello World hello  world", "die STRASSE Straße strasse", "x中文y 中 文", "badly ##ly", "a<ent>b <ENT>"])
+    more = [{"id": ids.setdefault(c, len(ids)), "content": c, "special": c[0] == "<", "normalized": c[0] != "<", "single_word": False, "lstrip": False, "rstrip": False} for c in ["open door", "Größe", "日本", "##ness", "<ent>"]]
+    same(variant(added_tokens=BASE["added_tokens"] + more), [*ALL, "Open door open  door", "die GRÖSSE Größe grösse grosse", "x日本y 日 本", "kindly ##ness", "a<ent>b <ENT>"])
 
 
 def test_decoder_without_section():
