@@ -18,8 +18,6 @@ from __future__ import annotations
 
 import re
 from itertools import product
-from re import _constants as op
-from re import _parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,22 +40,94 @@ BASE = ("assign", "access", "hex")
 _MOST = 64
 
 
-def _literals(node) -> set[str] | None:
-    """All strings that a parsed part can match, lower-cased; None if they are many or unknown."""
+#: Escapes that stand for one character.
+_CONTROL = {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "0": "\0"}
+_REPEAT = re.compile(r"([*+?]|\{(\d*)(?:(,)(\d*))?\})[?+]?")
+
+
+class _Pattern:
+    """A regex as alternatives, each a list of items: ("one", characters) for one character of a few, lower-cased,
+    ("any",) for what isn't known, ("group", alternatives), ("repeat", least, most or None, item)."""
+
+    def __init__(self, regex: str):
+        self.text, self.at = regex, 0
+        self.alternatives = self._alternatives()
+        if self.at < len(regex):
+            raise ValueError(f"a bracket is closed that isn't open: {regex!r}")
+
+    def _alternatives(self) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[]]
+        while self.at < len(self.text) and self.text[self.at] != ")":
+            if self.text[self.at] == "|":
+                self.at += 1
+                out.append([])
+                continue
+            item = self._item()
+            if (m := _REPEAT.match(self.text, self.at)) and (m[1] in "*+?" or m[2] or m[4]):
+                self.at = m.end()
+                least, most = {"*": (0, None), "+": (1, None), "?": (0, 1)}.get(m[1]) or (int(m[2] or 0), (int(m[4]) if m[4] else None) if m[3] else int(m[2]))
+                item = "repeat", least, most, item
+            out[-1].append(item)
+        return out
+
+    def _item(self) -> tuple:
+        c = self.text[self.at]
+        self.at += 1
+        if c == "(":
+            kind = re.compile(r"\?(?:[aiLmsux-]*:|P<\w+>)").match(self.text, self.at)
+            known = kind or self.text[self.at] != "?"
+            self.at = kind.end() if kind else self.at
+            inner = self._alternatives()
+            self.at += 1
+            return ("group", inner) if known else ("any",)  # what only looks around isn't read
+        if c == "[":
+            return self._set()
+        if c == "\\":
+            found = self._escape()
+            return ("one", {found.lower()}) if found else ("any",)
+        return ("any",) if c in ".^$" else ("one", {c.lower()})
+
+    def _escape(self) -> str | None:
+        """The character that an escape stands for, or None if it stands for more or for none."""
+        c = self.text[self.at]
+        self.at += 1
+        if c in "xuU" and (m := re.compile("[0-9a-fA-F]{%d}" % {"x": 2, "u": 4, "U": 8}[c]).match(self.text, self.at)):
+            self.at = m.end()
+            return chr(int(m[0], 16))
+        return _CONTROL.get(c) if c.isalnum() else c
+
+    def _set(self) -> tuple:
+        start, few, held = self.at, True, set()
+        if self.text[self.at] == "^":
+            few, self.at = False, self.at + 1
+        first = self.at
+        while self.text[self.at] != "]" or self.at == first:
+            c = self.text[self.at]
+            self.at += 1
+            if c == "\\":
+                found = self._escape()
+                few &= found is not None
+                held.add((found or "").lower())
+            elif c == "-" and self.at - 1 not in (start, first) and self.text[self.at] != "]":
+                few = False  # a range
+            else:
+                held.add(c.lower())
+        self.at += 1
+        return ("one", held) if few and len(held) <= 5 else ("any",)
+
+
+def _literals(items: list[tuple]) -> set[str] | None:
+    """All strings that items in a row can match, lower-cased; None if they are many or unknown."""
     out = {""}
-    for what, arg in node:
-        if what is op.LITERAL:
-            part = {chr(arg).lower()}
-        elif what is op.SUBPATTERN:
-            part = _literals(arg[3])
-        elif what is op.BRANCH:
-            parts = [_literals(x) for x in arg[1]]
+    for item in items:
+        if item[0] == "one":
+            part = item[1]
+        elif item[0] == "group":
+            parts = [_literals(x) for x in item[1]]
             part = None if None in parts else set().union(*parts)
-        elif what is op.IN and all(k is op.LITERAL for k, _ in arg) and len(arg) <= 5:
-            part = {chr(c).lower() for _, c in arg}
-        elif what in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[1] is not op.MAXREPEAT and arg[1] <= 4:
-            inner = _literals(arg[2])
-            part = None if inner is None else {"".join(p) for n in range(arg[0], arg[1] + 1) for p in product(inner, repeat=n)} if len(inner) ** arg[1] <= _MOST else None
+        elif item[0] == "repeat" and item[2] is not None and item[2] <= 4:
+            inner = _literals([item[3]])
+            part = None if inner is None else {"".join(p) for n in range(item[1], item[2] + 1) for p in product(inner, repeat=n)} if len(inner) ** item[2] <= _MOST else None
         else:
             part = None
         if part is None or len(out) * len(part) > _MOST:
@@ -66,13 +136,13 @@ def _literals(node) -> set[str] | None:
     return out
 
 
-def _flat(node):
-    """The parts of a pattern in a row, groups opened."""
-    for what, arg in node:
-        if what is op.SUBPATTERN:
-            yield from _flat(arg[3])
+def _flat(items: list[tuple]):
+    """Items in a row, groups without alternatives opened."""
+    for item in items:
+        if item[0] == "group" and len(item[1]) == 1:
+            yield from _flat(item[1][0])
         else:
-            yield what, arg
+            yield item
 
 
 def trigram_query(regex: str) -> list[list[frozenset[str]]]:
@@ -88,13 +158,13 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
             clauses.append(sorted(least, key=sorted))
         run = {""}
 
-    for item in _flat(_parser.parse(regex)):
+    for item in _flat([("group", _Pattern(regex).alternatives)]):
         part = _literals([item])
         if part is None or len(part) * len(run) > _MOST:
             close()
             if part is not None:
                 run = part
-            elif item[0] in (op.MAX_REPEAT, op.MIN_REPEAT) and item[1][0] >= 1 and (inner := _literals(item[1][2])) is not None:
+            elif item[0] == "repeat" and item[1] >= 1 and (inner := _literals([item[3]])) is not None:
                 run = inner
                 close()
         else:
@@ -161,8 +231,3 @@ def scan(docs: DataFrame, rules=RULES, base=BASE, id_col: str = "doc_id", text_c
         joined(F.col("all")).alias("spans"),
         F.transform("all", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("found"),
     )
-
-
-def check_rule(regex: str) -> None:
-    """Raise if Python can't read the rule."""
-    re.compile(regex)
