@@ -416,7 +416,7 @@ def _marked(spark, folder, text: str | Column = "text") -> DataFrame:
 
 def _unmarked(df: DataFrame) -> DataFrame:
     cut = F.split("text", " ", 2)
-    return df.select(cut[0].cast("bigint").alias("doc_id"), cut[1].alias("text"))
+    return df.select(cut[0].cast("bigint").alias("doc_id"), F.get(cut, F.lit(1)).alias("text"))  # null if there was no text
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -451,7 +451,7 @@ def read_jsonl_files(spark, folder):
 def encode_files(spark, folder):
     """Ids of each document of JSON Lines files; the reader knows no doc_id, so a row tells a document by its ids alone."""
     path = fresh_folder(spark, "files")
-    table(spark, folder, "documents").select("text").write.json(path)
+    table(spark, folder, "documents").select(F.coalesce("text", F.lit("")).alias("text")).write.json(path)
     ids = Tokenizer(spec()).encode_files(spark, JsonLines(path)).select("ids")
     return ids.select(F.size("ids").cast("bigint").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
 
