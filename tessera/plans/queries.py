@@ -416,7 +416,7 @@ def _marked(spark, folder, text: str | Column = "text") -> DataFrame:
 
 def _unmarked(df: DataFrame) -> DataFrame:
     cut = F.split("text", " ", 2)
-    return df.select(cut[0].cast("bigint").alias("doc_id"), F.get(cut, F.lit(1)).alias("text"))  # null if there was no text
+    return df.select(F.get(cut, F.lit(0)).try_cast("bigint").alias("doc_id"), F.get(cut, F.lit(1)).alias("text"))  # null if there was no text
 
 
 @query("SELECT doc_id, text FROM documents")
