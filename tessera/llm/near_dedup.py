@@ -17,17 +17,13 @@ its sketch the SKETCH lowest of them, which it retains. Documents with the same
 4. Pairs that go on are verified by the exact Jaccard similarity of their full sets.
 5. What leaders leave open: classes x and y of a list may be linked though y isn't linked to its leader l. If x is linked
    to l, y has a similarity of 2t - 1 to l at least, since 1 - similarity is a metric. So only classes go on that aren't
-   linked to l, and those that are where a list holds such a y. These few are listed under the rarest shingles of their
-   full sets, which part them better than retained values do; again short lists give their
-   pairs, to be estimated and verified, and long ones a leader's, to be verified. What a leader leaves gives its pairs if
-   it is LATER classes at most: those with a class that isn't linked to the leader. Else it is parted.
-   Sets differ by D(x, y) = |x-y| + |y-x|, and a link means D <= b(|x|+|y|) with b = (1-t)/(1+t). If x and y share nothing
-   outside l, D(x, y) >= |y-l| + |l-y| + |x| - |l| = D(l, y) + |x| - |l|, and as D(l, y) > b(|l|+|y|), that is no link
-   unless |x| < |l| and D(l, y) - b(|l|+|y|) <= (1-b)(|l|-|x|). So the shingles outside l part a list into lists, again
-   only as many of each class as a link needs, and one more list holds the smaller sets and the few y so near to l. Only
-   lists with a class that isn't linked to l go on; those that come from one list and have the same leader go on as one.
-   This repeats until none is left; a list never holds the leaders of those it comes from, and copies of one text fall
-   apart by their own changes.
+   linked to l, and those that are where a list holds such a y. They are listed under the rarest shingles of their full
+   sets (exact). Lists that hang together by their classes are one group, whose classes are all compared with each other,
+   since a pair shares many of its lists; where that is more pairs than the lists have, each list is compared by itself.
+   A group is cut into blocks of about LATER classes or VALUES shingles, and each pair of blocks is a group of rows of its
+   own, so that a task holds two blocks whatever the group's size; the sizes of all intersections come from products of
+   their shingle tables, and two blocks give a spanning forest of their links. So this is done in one round. Its products
+   grow with the square of what a group leaves open, its rows with that divided by LATER.
 
 Links go through label propagation with pointer jumping, in tables; nothing about documents reaches the driver but the
 numbers of rows left. Every table that is used again is written to the shared folder, and deleted once all that reads it
@@ -50,11 +46,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 from ._common import bitmap, integer_id, mapped, may_hold, pieces, removed, written
 
 SKETCH = 64
-#: Most classes of a list that gives all its pairs, and of what a leader leaves of one, which then isn't parted again.
-SMALL, LATER = 8, 128
+#: Most classes of a list that gives all its pairs, and about the classes and the shingles of a block of what leaders leave.
+SMALL, LATER, VALUES = 8, 512, 400_000
 _U = np.uint64
 
 
@@ -114,7 +112,7 @@ def sketch_share(percent: int, links: int = 1) -> float:
 
 
 def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) -> DataFrame:
-    """Written lists (key, parent, node, n, rare, open, whole): each class under the rarest of its values, by band of size; rare: how many of them
+    """Written lists (key, node, n, rare): each class under the rarest of its values, by band of size; rare: how many of them
     no other class has. values: node, v; sizes: node, n, and m, the number of its values; least: SQL for the number of
     values that a similar set shares, from n."""
     shared = written(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "shared")
@@ -124,7 +122,7 @@ def by_rarest(values: DataFrame, sizes: DataFrame, least: str, percent: int) ->
     room = (F.size("held") - F.expr(least) + 1).cast("int")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent * 1.001)))
     kept = rows.where(room > 0).select("node", "n", (F.col("m") - F.size("held")).alias("rare"), band.alias("band"), F.explode(F.slice("held", F.lit(1), room)).alias("x"))
-    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key"), F.lit(0).cast("bigint").alias("parent"), F.lit(True).alias("open"), F.lit(False).alias("whole")), "lists")
+    lists = written(kept.select("node", "n", "rare", F.explode(F.array(F.xxhash64("x.v", "band"), F.xxhash64("x.v", F.col("band") + 1))).alias("key")), "lists")
     removed(shared)
     return lists
 
@@ -141,10 +139,9 @@ def full_lists(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def distinct_lists(lists: DataFrame) -> DataFrame:
-    """Written lists (key, parent, node, n, rare, open, whole) of two or more, some open; one of those that hold the same. lists is
-    written, and goes."""
-    row = F.xxhash64("node", "open")
-    marks = lists.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y"), F.max("open").alias("o")).where("c > 1 and o")
+    """Written lists (key, node, n, rare) of two or more; one of those that hold the same. lists is written, and goes."""
+    row = F.xxhash64("node")
+    marks = lists.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(row).alias("x"), F.bit_xor(F.xxhash64(row, F.lit(1))).alias("y")).where("c > 1")
     keys = written(marks.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"), "keys")
     found = written(lists.join(keys, "key"), "lists")
     removed(keys, lists)
@@ -152,16 +149,14 @@ def distinct_lists(lists: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written (a, b, least): the pairs of short lists (least null) and those of leaders a, with the smallest size of a
-    list; and (key, a, b): the lists that have leaders, those of one parent and leader as one. lists is written, and goes."""
-    sizes = written(lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead"), F.min("n").alias("least")), "sizes")
-    rows = written(lists.join(sizes, "key").select("key", "parent", "node", "open", (F.col("whole") | (F.col("size") <= SMALL)).alias("short"), F.col("lead.node").alias("a"), "least"), "rows")
-    short = rows.where("short")
-    other = short.select("key", F.col("node").alias("b"), F.col("open").alias("open_b"))
-    pairs = short.select("key", "node", "open").join(other, "key").where("node < b and (open or open_b)").select(F.col("node").alias("a"), "b", F.lit(None).cast("bigint").alias("least"))
-    leads = rows.where("not short and a <> node").select("parent", "a", F.col("node").alias("b"), "least")
-    both = written(pairs.union(leads.select("a", "b", "least")).groupBy("a", "b").agg(F.min("least").alias("least")), "pairs")
-    led = written(leads.select(F.xxhash64("parent", "a").alias("key"), "a", "b").distinct(), "led")
+    """Written (a, b, leads): the pairs of short lists and those of leaders a (leads); and (a, b): what is in the lists that
+    each leader leads. lists is written, and goes."""
+    sizes = written(lists.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rare", "n", "node")).alias("lead")), "sizes")
+    rows = written(lists.join(sizes, "key").select("key", "node", (F.col("size") <= SMALL).alias("short"), F.col("lead.node").alias("a")), "rows")
+    short = rows.where("short").select("key", "node")
+    pairs = short.join(short.select("key", F.col("node").alias("b")), "key").where("node < b").select(F.col("node").alias("a"), "b", F.lit(False).alias("leads"))
+    led = written(rows.where("not short and a <> node").select("a", F.col("node").alias("b")).distinct(), "led")
+    both = written(pairs.union(led.select("a", "b", F.lit(True))).groupBy("a", "b").agg(F.max("leads").alias("leads")), "pairs")
     removed(sizes, rows, lists)
     return both, led
 
@@ -185,7 +180,7 @@ def overlaps(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """a, b, least, overlap, likely: whether a pair goes on to be verified. pairs: a, b, least; sketches: node, sketch."""
+    """a, b, leads, overlap, likely: whether a pair goes on to be verified. pairs: a, b, leads; sketches: node, sketch."""
     left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
     rows = pairs.join(right, "b").join(left, "a")
@@ -193,75 +188,145 @@ def estimated(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             overlap, share = overlaps(batch.column("sketch_a"), batch.column("sketch_b"))
-            least = np.where(batch.column("least").is_valid().to_numpy(zero_copy_only=False), sketch_share(percent, 2), sketch_share(percent))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "least")), pa.array(overlap), pa.array(share >= least)], names=["a", "b", "least", "overlap", "likely"])
+            least = np.where(batch.column("leads").to_numpy(zero_copy_only=False), sketch_share(percent, 2), sketch_share(percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "leads")), pa.array(overlap), pa.array(share >= least)], names=["a", "b", "leads", "overlap", "likely"])
 
-    return mapped(rows, run, "a bigint, b bigint, least bigint, overlap bigint, likely boolean")
+    return mapped(rows, run, "a bigint, b bigint, leads boolean, overlap bigint, likely boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, rid_a, rid_b, linked, close, more, near, small: for a leader's pairs close tells that b may be linked to classes
-    that are linked to a, more holds b's shingles outside a for the next lists, near tells that b may be linked to smaller
-    sets without them, small that it is such a set. pairs: a, b, least (null where there is no leader)."""
+    """a, b, rid_a, rid_b, linked, close: that b isn't linked to a but may be to classes that are. pairs: a, b."""
     left = sets.select(F.col("node").alias("a"), F.col("rid").alias("rid_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("rid").alias("rid_b"), F.col("shingles").alias("set_b"))
     rows = pairs.join(right, "b").join(left, "a")
 
     def run(batches):
         for batch in batches:
-            cols = {k: batch.column(k) for k in ("a", "b", "rid_a", "rid_b")}
-            out = []
-            for least, x, y in zip(batch.column("least").to_pylist(), batch.column("set_a"), batch.column("set_b")):
+            linked, close = [], []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = x.values.to_numpy().view(_U), y.values.to_numpy().view(_U)
-                common = np.isin(y, x, assume_unique=True)
-                n = int(common.sum())
+                n = int(np.isin(y, x, assume_unique=True).sum())
                 union = len(x) + len(y) - n
-                linked = 100 * n >= percent * union
-                if least is None:
-                    out.append((linked, False, None, False, False))
-                    continue
-                outside = y[~common]
-                # a set that is linked to y shares so much with it, and n of it at most within x
-                need = max(-(-percent * len(y) // 100), -(-percent * (len(y) + least) // (100 + percent)))
-                more = outside[: max(0, len(outside) - max(1, need - n) + 1)].view(np.int64)
-                # D(x, y) - b(|x|+|y|) <= (1-b)(|x|-least), times 100 + percent
-                over = (len(x) + len(y) - 2 * n) * (100 + percent) - (100 - percent) * (len(x) + len(y))
-                near = not linked and over <= 2 * percent * (len(x) - least)
-                out.append((linked, not linked and 100 * n >= (2 * percent - 100) * union, more, near, len(y) < len(x)))
-            linked, close, more, near, small = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_pydict(cols | {"linked": pa.array(linked, pa.bool_()), "close": pa.array(close, pa.bool_()), "more": pa.array(more, pa.list_(pa.int64())), "near": pa.array(near, pa.bool_()), "small": pa.array(small, pa.bool_())})
-
-    return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, close boolean, more array<bigint>, near boolean, small boolean")
-
-
-def left_open(weighed: DataFrame, found: DataFrame, led: DataFrame) -> DataFrame:
-    """Written node: the classes that the first leaders leave open; weighed: of estimated(); found: of verified()."""
-    checked = found.select("a", "b", "linked", "close")
-    rows = led.join(weighed.where("least is not null").select("a", "b"), ["a", "b"]).join(checked, ["a", "b"], "left")
-    members = written(rows.select("key", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("close", F.lit(False)).alias("close")), "members")
-    has = members.groupBy("key").agg(F.sum((~F.col("linked")).cast("int")).alias("apart"), F.max("close").alias("any_close")).where("apart > 1 or any_close")
+                linked.append(100 * n >= percent * union)
+                close.append(not linked[-1] and 100 * n >= (2 * percent - 100) * union)
+            cols = {k: batch.column(k) for k in ("a", "b", "rid_a", "rid_b")}
+            yield pa.RecordBatch.from_pydict(cols | {"linked": pa.array(linked, pa.bool_()), "close": pa.array(close, pa.bool_())})
+
+    return mapped(rows, run, "a bigint, b bigint, rid_a bigint, rid_b bigint, linked boolean, close boolean")
+
+
+def left_open(found: DataFrame, led: DataFrame) -> DataFrame:
+    """Written node: the classes that the leaders leave open; found: of verified()."""
+    rows = led.join(found.select("a", "b", "linked", "close"), ["a", "b"], "left")
+    members = written(rows.select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("close", F.lit(False)).alias("close")), "members")
+    has = members.groupBy("a").agg(F.sum((~F.col("linked")).cast("int")).alias("apart"), F.max("close").alias("any_close")).where("apart > 1 or any_close")
     has = written(has, "has")
-    out = written(members.join(has, "key").where("not linked or any_close").select(F.col("b").alias("node")).distinct(), "open")
+    out = written(members.join(has, "a").where("not linked or any_close").select(F.col("b").alias("node")).distinct(), "open")
     removed(members, has)
     return out
 
 
-def next_lists(found: DataFrame, led: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Written lists of what a later round leaves open; nodes: node, n, rare."""
-    members = written(led.join(found.where("more is not null"), ["a", "b"]).select("key", F.col("b").alias("node"), "linked", "more", "near", "small"), "members")
-    has = written(members.groupBy("key").agg(F.count_if(~F.col("linked")).alias("apart"), F.count("*").alias("c")).where("apart > 0 and c > 1").select("key", "c"), "has")
-    m = written(members.join(has, "key").withColumns({"parent": F.col("key"), "open": ~F.col("linked")}), "open")
-    whole = m.where(F.col("c") <= LATER).select("key", "parent", "node", "open", F.lit(True).alias("whole"))
-    many = m.where(F.col("c") > LATER)
-    outside = many.select("parent", "node", "open", F.explode("more").alias("v")).select(F.xxhash64("parent", "v").alias("key"), "parent", "node", "open", F.lit(False).alias("whole"))
-    near = many.where("near or small").select(F.xxhash64("parent", F.lit("near")).alias("key"), "parent", "node", F.col("near").alias("open"), F.lit(False).alias("whole"))
-    lists = written(whole.union(outside).union(near).join(nodes, "node").select("key", "parent", "node", "n", "rare", "open", "whole"), "lists")
-    removed(members, has, m)
-    return distinct_lists(lists)
+def cells(lists: DataFrame) -> DataFrame:
+    """Written (cell, node, n, parts): what is compared with each other: groups of lists that hang together, or the lists
+    where these have fewer pairs; parts: into how many blocks a cell is cut. lists is written, and goes."""
+    star = written(lists.groupBy("key").agg(F.min("node").alias("x"), F.count("*").alias("c")), "star")
+    edges = written(lists.join(star, "key").where("node <> x").select("x", F.col("node").alias("y")).distinct(), "edges")
+    labels = components(edges)
+    sizes = labels.groupBy("label").agg(F.count("*").cast("double").alias("size"))
+    apart = star.join(labels, star.x == labels.id).groupBy("label").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs"))
+    whole = written(sizes.join(apart, "label").select("label", (F.col("size") * F.col("size") <= F.col("pairs")).alias("whole")), "whole")
+    groups = written(labels.join(whole, "label").select(F.col("id").alias("node"), "label", "whole"), "groups")
+    members = lists.join(groups, "node").select(F.when(F.col("whole"), F.col("label")).otherwise(F.col("key")).alias("cell"), "node", "n")
+    members = written(members.distinct(), "members")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(LATER), F.sum("n") / F.lit(VALUES)))
+    cuts = written(members.groupBy("cell").agg(parts.cast("int").alias("parts")), "cuts")
+    found = written(members.join(cuts, "cell"), "cells")
+    removed(star, edges, labels, whole, groups, members, cuts, lists)
+    return found
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b: values that many sets have by products of tables of 0 and
+    1, the others by the pairs of sets that have them."""
+    values = np.concatenate([*a, *b])
+    own = np.concatenate([np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)])
+    at = sum(map(len, a))
+    col = np.unique(values, return_inverse=True)[1]
+    c = [np.bincount(part, minlength=col.max() + 1) for part in (col[:at], col[at:])]
+    out = np.zeros((len(a), len(b)), np.int64)
+    often = c[0] * c[1] * 200 > len(a) * len(b)
+    sides = []
+    for part, owner in ((col[:at], own[:at]), (col[at:], own[at:])):
+        order = np.argsort(part, kind="stable")
+        sides.append((part[order], owner[order]))
+
+    def step(chosen: np.ndarray, weight: np.ndarray, most: int):
+        """Entries (column, set) of both sides for slices of the chosen columns of about this weight."""
+        cuts = np.searchsorted(np.cumsum(weight[chosen]), np.arange(0, weight[chosen].sum(), most))
+        for first, last in zip(cuts, [*cuts[1:], len(chosen)]):
+            if last > first:
+                new = np.full(len(often), -1)
+                new[chosen[first:last]] = np.arange(last - first)
+                yield last - first, [(new[k[0]][hit], k[1][hit]) for k in sides for hit in [new[k[0]] >= 0]]
+
+    for width, entries in step(np.flatnonzero(often), np.ones(len(often), np.int64), 4096):
+        tables = [np.zeros((len(x), width), np.float32) for x in (a, b)]
+        for made, (k, owner) in zip(tables, entries):
+            made[owner, k] = 1
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    for width, ((ka, oa), (kb, ob)) in step(np.flatnonzero(~often & (c[0] > 0) & (c[1] > 0)), c[0] * c[1], 2_000_000):
+        times = np.bincount(kb, minlength=width)
+        first = np.cumsum(times) - times
+        n = times[ka]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[ka], n)
+        out += np.bincount(np.repeat(oa, n) * len(b) + ob[place], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def forest(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of 0 to n-1 that each of them reaches by the links (x, y)."""
+    label = np.arange(n)
+    while True:
+        was = label.copy()
+        np.minimum.at(label, x, was[y])
+        np.minimum.at(label, y, was[x])
+        label = label[label]
+        if (label == was).all():
+            return label
+
+
+def cell_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Written links (x, y), a spanning forest of those of each two blocks of each cell; members: of cells()."""
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts"))
+    rows = members.select("cell", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts").cast("bigint") - 1)).alias("other"))
+    rows = rows.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "own")
+    rows = rows.join(sets.select("node", "rid", "shingles"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        side = table["own"].to_numpy()
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        links = np.empty(0, np.int64), np.empty(0, np.int64)
+        label = np.arange(len(side))
+        if len(left) and len(right) and len(side) > 1:
+            held = [s.values.to_numpy().view(_U) for s in table["shingles"]]
+            n = np.array([len(s) for s in held])
+            common = intersections([held[k] for k in left], [held[k] for k in right])
+            x, y = np.nonzero(100 * common >= percent * (n[left][:, None] + n[right] - common))
+            label = forest(left[x], right[y], len(side))
+            links = np.flatnonzero(label != np.arange(len(side))), label[label != np.arange(len(side))]
+        cols = {f"{c}_{k}": table[c].take(pa.array(at)) for k, at in zip("xy", links) for c in ("rid", "node")}
+        return pa.Table.from_pydict(cols)
+
+    ship(members.sparkSession)
+    found = rows.groupBy("cell", "i", "j").applyInArrow(run, "rid_x bigint, node_x bigint, rid_y bigint, node_y bigint")
+    x, y = (F.struct(F.col(f"rid_{k}").alias("rid"), F.col(f"node_{k}").alias("node")).alias(k) for k in "xy")
+    return written(found.select(x, y).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that each id of links (x, y) reaches."""
+    """Written (id, label): the smallest id that each id of links (x, y) reaches."""
     edges = written(links.select("x", "y").union(links.select("y", "x")).where("x <> y").distinct(), "edges")
     labels = written(edges.groupBy(F.col("x").alias("id")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
     while True:
@@ -272,7 +337,9 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
         if after.where("was <> label").isEmpty():
             removed(edges)
-            return after.select("id", "label")
+            found = after.select("id", "label")
+            found.tessera_path = after.tessera_path
+            return found
 
 
 def links_of(found: DataFrame) -> DataFrame:
@@ -293,26 +360,19 @@ def labelled(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     active = written(likely.select(F.col("a").alias("node")).union(likely.select("b")).union(led.select("a")).union(led.select("b")).distinct(), "active")
     wanted = written(classes.select("sig", "rid", "node").join(active, "node"), "wanted")
     sets = written(full_sets(rows, wanted, width), "sets")
-    found = written(verified(likely.select("a", "b", "least"), sets, percent), "verified")
+    found = written(verified(likely.select("a", "b"), sets, percent), "verified")
     links = [links_of(found)]
-    rest = left_open(weighed, found, led)
+    rest = left_open(found, led)
     removed(pairs, led, weighed, active, wanted, found)
-    lists = full_lists(sets.join(rest, "node", "left_semi"), percent)
-    nodes = written(lists.select("node", "n", "rare").distinct(), "nodes")
-    lists = distinct_lists(lists)
-    while not lists.isEmpty():
-        pairs, led = candidate_pairs(lists)
-        likely = written(estimated(pairs.where("least is null"), classes.select("node", "sketch"), percent).where("likely"), "weighed")
-        found = written(verified(likely.select("a", "b", "least").union(pairs.where("least is not null")), sets, percent), "verified")
-        links.append(links_of(found))
-        done = led.isEmpty()
-        if not done:
-            lists = next_lists(found, led, nodes)
-        removed(pairs, led, likely, found)
-        if done:
-            break
+    lists = distinct_lists(full_lists(sets.join(rest, "node", "left_semi"), percent))
+    if lists.isEmpty():
+        removed(lists)
+    else:
+        members = cells(lists)
+        links.append(cell_links(members, sets, percent))
+        removed(members)
     labels = components(reduce(DataFrame.union, links))
-    removed(sets, nodes, rest, *links)
+    removed(sets, rest, *links)
     own = classes.select("sig", F.struct("rid", "node").alias("own"))
     return feats, own.join(labels, own.own == labels.id, "left").select("sig", "own", F.coalesce("label", "own").alias("label"))
 
