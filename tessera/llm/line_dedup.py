@@ -51,7 +51,8 @@ FIELD = "<*>"
 FAN = 1024
 _DIGIT = re.compile(r"\d")
 _VARIABLE = re.compile(r"\S*\d\S*")
-_HELD = 100_000
+#: Most leaves and about the characters of their meetings that a task holds at a time.
+_HELD, _HELD_CHARS = 100_000, 8_000_000
 
 
 def template(line: str) -> tuple[int, list[str]]:
@@ -91,11 +92,12 @@ def leaf_templates(texts: DataFrame, mixed: bytes) -> DataFrame:
     bitmap = texts.sparkSession.sparkContext.broadcast(mixed)  # of a fixed size
 
     def run(batches):
-        held: dict[int, list[str]] = {}
+        held: dict[int, str] = {}  # as text: lists of tokens take ten times as much
+        chars = 0
         bits = bitmap.value
 
         def flush():
-            out = pa.RecordBatch.from_pydict({"leaf": pa.array(held.keys(), pa.int64()), "template": pa.array([" ".join(t) for t in held.values()], pa.string())})
+            out = pa.RecordBatch.from_pydict({"leaf": pa.array(held.keys(), pa.int64()), "template": pa.array(held.values(), pa.string())})
             held.clear()
             return out
 
@@ -104,10 +106,12 @@ def leaf_templates(texts: DataFrame, mixed: bytes) -> DataFrame:
                 for text in part:
                     for line in (text or "").split("\n"):
                         leaf, tokens = template(line)
-                        if tokens and may_hold(bits, leaf) and (known := held.get(leaf)) != tokens:
-                            held[leaf] = met(known, tokens) if known else tokens
-                if len(held) >= _HELD:
-                    yield flush()
+                        if tokens and may_hold(bits, leaf) and (known := held.get(leaf)) != (whole := " ".join(tokens)):
+                            held[leaf] = " ".join(met(known.split(" "), tokens)) if known else whole
+                            chars += 0 if known else len(whole)
+                    if len(held) >= _HELD or chars >= _HELD_CHARS:
+                        yield flush()
+                        chars = 0
         yield flush()
 
     found = mapped(texts, run, "leaf bigint, template string")
