@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns
+from tessera.operators.assemble import exploded
 from tessera.plans import queries
 
 from .texts import ALL
@@ -64,3 +65,18 @@ def test_batches_of_queries_are_bounded(spark, tmp_path):
         assert sum(r["count"] for r in rows) == 40_000 and max(r.size for r in rows) < 3_000_000
     finally:
         spark.conf.set(KEY, before) if before is not None else spark.conf.unset(KEY)
+
+
+@pytest.mark.parametrize("name", ["truncate_left", "truncate_right", "tokenize_pieces", "encode_ids", "encode_ids_special", "encode_part_names", "pre_bert", "pre_sequence", "text_separator_docs", "added_tokens_split"])
+def test_exploded_arrays_are_made_once(spark, name):
+    """The optimizer's filter on the size of an exploded column had all texts worked twice."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 1 and "Filter" not in plan
+    assert plan.count("regexp_extract_all(text") <= 1
+
+
+def test_exploded_nulls_and_empty_arrays(spark):
+    rows = spark.createDataFrame([(1, [5, 6]), (2, []), (3, None), (4, [None])], "k int, a array<int>")
+    found = exploded(rows, "a", ["k"])
+    assert found.schema.simpleString() == "struct<k:int,pos:bigint,token_id:int>"
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 0, 5), (1, 1, 6), (4, 0, None)]
